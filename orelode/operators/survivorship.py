@@ -1,0 +1,174 @@
+"""One surviving record for each group of duplicate records.
+
+Two operators share the preparation of the claims (a claim is one usable value of one field in one row):
+
+``survivors``       strict order: trust in the source, then recency, then id. One partial aggregation, no window and no
+                    collected group, so a group with a third of all rows is merged map-side.
+``discover_truth``  iterative truth discovery: source reliability and weighted votes, alternately, until they settle.
+
+Defined cases: rows without a group key or without an id take no part; a group needs at least two different ids; values
+that stand in for nothing never compete; a field without a usable value yields no row; replayed rows change nothing;
+an empty table yields an empty result; further columns are ignored.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from orelode.session import cut_lineage
+
+# Texts that stand in for a missing value, in lower case without outer spaces and full stops.
+NOTHING = (
+    "", "n/a", "na", "n.a", "none", "null", "nil", "nan", "undefined", "unknown", "tbd", "tba", "todo", "not available",
+    "not applicable", "no suggestion", "no specific suggestion available", "no evidence", "missing", "empty", "pending",
+    "to be done", "to be determined", "not set", "unset", "no data", "no value", "xxx",
+)
+# The severities.
+SEVERITIES = ("critical", "high", "medium", "low")
+
+
+def plain(c: Column) -> Column:
+    """Lower case, outer white space removed."""
+    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+
+
+def usable_text(c: Column) -> Column:
+    """Whether a text says something: no stand-in, and at least one letter or digit. False for null."""
+    core = F.regexp_replace(plain(c), r"^[<\[({\s]+|[>\])}.\s]+$", "")
+    return F.coalesce(c.rlike(r"[\p{L}\p{N}]") & ~core.isin(*NOTHING), F.lit(False))
+
+
+def usable_severity(c: Column) -> Column:
+    return F.coalesce(plain(c).isin(*SEVERITIES), F.lit(False))
+
+
+def usable_confidence(c: Column) -> Column:
+    return F.coalesce((c >= 0) & (c <= 1) & ~F.isnan(c), F.lit(False))
+
+
+def source_key(c: Column) -> Column:
+    """A source's name without differences of spelling: case, spaces, hyphens, order of the parts of a combined source."""
+    parts = F.transform(F.split(plain(c), r"\+"), lambda p: F.regexp_replace(F.trim(p), r"[\s\-_]+", "_"))
+    return F.array_join(F.array_sort(F.array_distinct(parts)), "+")
+
+
+@dataclass(frozen=True)
+class Field:
+    """A field to merge: its name, when a value is usable, and the form in which two values count as equal."""
+
+    name: str
+    usable: object
+    form: object = staticmethod(lambda c: plain(c.cast("string")))
+
+
+ISSUE_FIELDS = (
+    Field("severity", usable_severity),
+    Field("confidence", usable_confidence, lambda c: F.round(c.cast("double"), 6).cast("string")),
+    Field("fix_suggestion", usable_text),
+    Field("evidence", usable_text),
+)
+UNTRUSTED = 1 << 30
+
+
+def _prepared(rows: DataFrame, trust: dict[str, int], group: str, ident: str, source: str, recency: str, fields) -> DataFrame:
+    """The columns needed, with the key, the source's rank and the time as a number that sorts late times first."""
+    src = source_key(F.col(source))
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(trust.items()) for x in kv])[src], F.lit(UNTRUSTED)) if trust else F.lit(UNTRUSTED)
+    late = F.coalesce(-F.unix_micros(F.col(recency).cast("timestamp")), F.lit((1 << 63) - 1))
+    return rows.select(
+        plain(F.col(group)).alias("_group"), F.col(ident).cast("bigint").alias("_id"), rank.alias("_rank"), late.alias("_late"),
+        F.coalesce(src, F.lit("")).alias("_source"), *[F.col(f.name).alias(f"_v_{f.name}") for f in fields],
+    ).where((F.col("_group") != "") & F.col("_id").isNotNull())
+
+
+def trust_of(source_trust: DataFrame) -> dict[str, int]:
+    """Ranks by spelling-free source name, from a table of checked size."""
+    from orelode.sources.tables import small_rows
+
+    t = source_trust.select(source_key(F.col("source")).alias("s"), F.col("trust_rank").cast("int").alias("r"))
+    return {r["s"]: r["r"] for r in small_rows(t.where("s is not null and r is not null").groupBy("s").agg(F.min("r").alias("r")))}
+
+
+def survivors(
+    rows: DataFrame, trust: dict[str, int], group: str = "finding_id", ident: str = "issue_id", source: str = "source",
+    recency: str = "created_at", fields=ISSUE_FIELDS,
+) -> DataFrame:
+    """(group, field_name, id) of the surviving value of each field, for each group with two or more different ids.
+
+    The order is lower rank, later time (missing last), smaller id. See the module's text for the defined cases.
+    """
+    p = _prepared(rows, trust, group, ident, source, recency, fields)
+    order = F.struct("_rank", "_late", "_id")
+    best = p.groupBy("_group").agg(
+        F.min("_id").alias("_least"), F.max("_id").alias("_most"),
+        *[F.min(F.when(f.usable(F.col(f"_v_{f.name}")), order)).alias(f"_b_{f.name}") for f in fields],
+    ).where("_least <> _most")
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("field_name"), F.col(f"_b_{f.name}._id").alias("id")) for f in fields])
+    return (
+        best.select(F.col("_group").alias(group), F.inline(pairs)).where("id is not null")
+        .select(group, "field_name", F.col("id").alias(ident))
+    )
+
+
+def merged_records(rows: DataFrame, chosen: DataFrame, group: str = "finding_id", ident: str = "issue_id", fields=ISSUE_FIELDS) -> DataFrame:
+    """One record per group: each field's surviving value with the id of the row it came from.
+
+    Joined on the id, not on the group, so that a hot group stays spread; replayed rows are reduced to one first.
+    """
+    values = rows.where(F.col(ident).isNotNull()).groupBy(F.col(ident).cast("bigint").alias(ident)).agg(
+        *[F.first(f.name, ignorenulls=True).cast("string").alias(f"_v_{f.name}") for f in fields])
+    value = F.coalesce(*[F.when(F.col("field_name") == f.name, F.trim(f"_v_{f.name}")) for f in fields])
+    out = chosen.join(values, ident).select(group, "field_name", ident, value.alias("value"))
+    return out.groupBy(group).agg(*[x for f in fields for x in (
+        F.max(F.when(F.col("field_name") == f.name, F.col("value"))).alias(f.name),
+        F.max(F.when(F.col("field_name") == f.name, F.col(ident))).alias(f"{f.name}_{ident}"))])
+
+
+def discover_truth(
+    rows: DataFrame, trust: dict[str, int], group: str = "finding_id", ident: str = "issue_id", source: str = "source",
+    recency: str = "created_at", fields=ISSUE_FIELDS, tolerance: float = 1e-3, max_rounds: int = 20,
+) -> tuple[DataFrame, dict[str, float], int]:
+    """Iterative truth discovery: (values, reliability by source, rounds).
+
+    values: group, field_name, value (in comparable form), support (share of the weighted votes), sources, id (the best
+    row with that value by rank, time, id).
+    A source's weight is ln(1/(1-reliability)). Reliability starts from the trust rank and becomes the share of a
+    source's claims that agree with the current choice (smoothed by one claim either way). Sources unknown to the trust table vote together as
+    one source, so the state on the driver has as many entries as that fixed table plus one.
+    Replays count once: one vote per (group, field, value, source). Ties go to the best row by rank, time, id. Votes are
+    grouped by value before they are grouped by group, and agreement is joined on (group, field, value), so that a hot group never meets in one task.
+    """
+    p = _prepared(rows, trust, group, ident, source, recency, fields)
+    claim = F.array(*[
+        F.struct(F.lit(f.name).alias("field_name"), F.when(f.usable(F.col(f"_v_{f.name}")), f.form(F.col(f"_v_{f.name}"))).alias("value")) for f in fields
+    ])
+    voter = F.when(F.col("_rank") < UNTRUSTED, F.col("_source")).otherwise(F.lit("(other)"))
+    claims = cut_lineage(
+        p.select("_group", "_id", "_rank", "_late", voter.alias("voter"), F.inline(claim)).where("value is not null")
+        .groupBy("_group", "field_name", "value", "voter").agg(F.min(F.struct("_rank", "_late", "_id")).alias("best"))
+    )
+    last = max([0, *trust.values()]) + 1
+    good = {s: 0.9 - 0.5 * (r - 1) / max(1, last - 1) for s, r in trust.items()} | {"(other)": 0.4}
+    rounds = 0
+    while True:
+        weight = F.create_map(*[F.lit(x) for s, g in sorted(good.items()) for x in (s, -math.log(1 - min(g, 0.999)))])[F.col("voter")]
+        votes = claims.groupBy("_group", "field_name", "value").agg(
+            F.sum(weight).alias("votes"), F.count("*").alias("sources"), F.min("best").alias("best"))
+        key = F.struct((-F.round("votes", 9)).alias("v"), "best", "value", "votes", "sources")
+        chosen = votes.groupBy("_group", "field_name").agg(F.min(key).alias("k"), F.sum("votes").alias("all")).select(
+            "_group", "field_name", F.col("k.value").alias("value"), (F.col("k.votes") / F.col("all")).alias("support"),
+            F.col("k.sources").alias("sources"), F.col("k.best._id").alias("id"))
+        if rounds >= max_rounds:
+            break
+        agreed = claims.join(chosen.select("_group", "field_name", "value", F.lit(1).alias("hit")), ["_group", "field_name", "value"], "left")
+        new = {r["voter"]: (r["h"] + 1) / (r["n"] + 2) for r in agreed.groupBy("voter").agg(F.count("hit").alias("h"), F.count("*").alias("n")).collect()}
+        rounds += 1
+        moved = max([0.0, *[abs(v - good[s]) for s, v in new.items()]])
+        good |= new
+        if moved < tolerance:
+            break
+    return chosen.select(F.col("_group").alias(group), "field_name", "value", F.round("support", 6).alias("support"), "sources", F.col("id").alias(ident)), good, rounds

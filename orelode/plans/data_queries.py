@@ -1,0 +1,56 @@
+"""Queries of the core's data operators: duplicate groups (p2) and oversized items (p4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orelode.operators import bisection, survivorship
+from orelode.sources.tables import budget, table
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return survivorship.survivors(table(spark, root, "issues"), survivorship.trust_of(table(spark, root, "source_trust")))
+
+
+def p2_records(spark: SparkSession, root: str) -> DataFrame:
+    return survivorship.merged_records(table(spark, root, "issues"), p2_found(spark, root))
+
+
+def p2_truth(spark: SparkSession, root: str) -> DataFrame:
+    return survivorship.discover_truth(table(spark, root, "issues"), survivorship.trust_of(table(spark, root, "source_trust")))[0]
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return (
+        bisection.split_oversized(table(spark, root, "files"), *budget(spark, root, "review_chunk"), bodies=False)
+        .where("piece_no = 0").select("file_id", "start_line")
+    )
+
+
+def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return bisection.split_oversized(table(spark, root, "files"), *budget(spark, root, "review_chunk"))
+
+
+def p4_small_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return bisection.split_oversized(table(spark, root, "files"), *budget(spark, root, "small_chunk"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p2_truth, p4_found, p4_pieces, p4_small_pieces)}
+
+_NOTHING = ", ".join(f"'{x}'" for x in survivorship.NOTHING)
+_TEXT = "regexp_matches({0}, '[\\p{{L}}\\p{{N}}]') AND regexp_replace(regexp_replace(lower(trim({0}, E' \\t\\r\\n')), '^[<\\[({{\\s]+', ''), '[>\\])}}.\\s]+$', '') NOT IN (" + _NOTHING + ")"
+_P2 = """
+WITH t AS (SELECT array_to_string(list_sort(string_split(lower(source), '+')), '+') AS s, min(trust_rank) AS r FROM source_trust GROUP BY 1),
+i AS (SELECT lower(trim(finding_id)) AS finding_id, issue_id, severity, confidence, fix_suggestion, evidence, created_at,
+  array_to_string(list_sort(list_distinct(list_transform(string_split(lower(trim(source)), '+'), lambda p: regexp_replace(trim(p), '[\\s\\-_]+', '_', 'g')))), '+') AS s
+  FROM issues WHERE trim(finding_id) <> '' AND issue_id IS NOT NULL),
+g AS (SELECT finding_id FROM i GROUP BY 1 HAVING count(DISTINCT issue_id) > 1),
+c AS (SELECT finding_id, issue_id, coalesce(r, 1073741824) AS r, created_at, f.field_name, f.usable FROM i LEFT JOIN t USING (s),
+  LATERAL (VALUES ('severity', lower(trim(severity)) IN ('critical', 'high', 'medium', 'low')),
+    ('confidence', confidence BETWEEN 0 AND 1), ('fix_suggestion', %s), ('evidence', %s)) AS f(field_name, usable)
+  WHERE finding_id IN (SELECT finding_id FROM g))
+SELECT finding_id, field_name, issue_id FROM c WHERE usable
+QUALIFY row_number() OVER (PARTITION BY finding_id, field_name ORDER BY r, created_at DESC NULLS LAST, issue_id) = 1
+""" % (_TEXT.format("fix_suggestion"), _TEXT.format("evidence"))
+ORACLES = {"p2_found": _P2}

@@ -1,0 +1,86 @@
+"""Against brute force on a small fixture with nulls, ties, replays and a hot group."""
+
+import random
+from datetime import datetime, timedelta
+
+from orelode.operators import survivorship as s
+
+SCHEMA = (
+    "issue_id bigint, finding_id string, severity string, confidence double, fix_suggestion string, evidence string, "
+    "source string, created_at timestamp_ntz, _group string"
+)
+TRUST = {"deterministic": 1, "ai_quality+deterministic": 2, "human_review": 3}
+
+
+def made(n=400, seed=1):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        f = "HOT" if r.random() < 0.35 else f" f{r.randrange(60)} "
+        rows.append((
+            r.choice([i, i, None]) if i % 50 == 0 else i, r.choice([f, f.lower(), f"{f} "]) if i % 40 else None,
+            r.choice(["High", " low", "n/a", None, "?", "medium"]), r.choice([0.0, 1.0, 0.5, -1.0, float("nan"), float("inf"), None]),
+            r.choice(["fix it", "N/A", "", None, "<none>", "..."]), r.choice(["x()", "-", "null", " y() "]),
+            r.choice(["Deterministic", "deterministic + AI-Quality", "human review", "cli", None, ""]),
+            r.choice([None, datetime(2025, 1, 1) + timedelta(days=r.randrange(4))]), "clash",
+        ))
+    return rows + rows[:30]
+
+
+def brute(rows):
+    nothing = {"", "n/a", "?", "-", "null", "<none>", "..."}
+    name = {"deterministic": 1, "deterministic + ai-quality": 2, "human review": 3}
+    ok = (
+        lambda v: v is not None and v.strip().lower() in ("critical", "high", "medium", "low"),
+        lambda v: v is not None and 0 <= v <= 1,
+        *[lambda v: v is not None and v.strip().lower() not in nothing] * 2,
+    )
+    groups = {}
+    for x in rows:
+        if x[0] is not None and x[1] and x[1].strip():
+            groups.setdefault(x[1].strip().lower(), []).append(x)
+    out = set()
+    for g, xs in groups.items():
+        if len({x[0] for x in xs}) > 1:
+            for k, field in enumerate(("severity", "confidence", "fix_suggestion", "evidence")):
+                use = [x for x in xs if ok[k](x[2 + k])]
+                if use:
+                    best = min(use, key=lambda x: (name.get((x[6] or "").lower(), 9), -(x[7] or datetime(1900, 1, 1)).timestamp(), x[0]))
+                    out.add((g, field, best[0]))
+    return out
+
+
+def test_survivors_equal_brute_force(spark):
+    rows = made()
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in s.survivors(df, TRUST).collect()} == brute(rows)
+    assert {tuple(r) for r in s.survivors(df.repartition(7), TRUST).collect()} == brute(rows)
+
+
+def test_records_take_each_field_from_its_row(spark):
+    rows = made()
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["finding_id"]: r for r in s.merged_records(df, s.survivors(df, TRUST)).collect()}
+    for g, field, ident in brute(rows):
+        assert got[g][f"{field}_issue_id"] == ident and got[g][field] is not None
+
+
+def test_truth_discovery_learns_who_is_right(spark):
+    r = random.Random(2)
+    rows = []
+    for g in range(150):
+        truth = r.choice(["high", "low", "medium"])
+        for k, (src, right) in enumerate((("deterministic", 0.3), ("ai_quality+deterministic", 0.95), ("human_review", 0.95), ("cli", 0.9))):
+            v = truth if r.random() < right else r.choice(["critical", "low", "high", "medium"])
+            rows.append((g * 10 + k, f"f{g}", v, None, None, truth, src, None, "x"))
+    out, good, rounds = s.discover_truth(spark.createDataFrame(rows, SCHEMA), TRUST)
+    assert 1 <= rounds <= 20 and good["human_review"] > good["deterministic"]
+    got = {r["finding_id"]: r["value"] for r in out.where("field_name = 'severity'").collect()}
+    want = {x[1]: x[5] for x in rows}
+    assert sum(got[g] == want[g] for g in want) > 140
+
+
+def test_empty_and_all_null(spark):
+    assert s.survivors(spark.createDataFrame([], SCHEMA), TRUST).count() == 0
+    assert s.survivors(spark.createDataFrame([(None,) * 9] * 3, SCHEMA), {}).count() == 0
+    assert s.discover_truth(spark.createDataFrame([], SCHEMA), {})[0].count() == 0
