@@ -22,7 +22,7 @@ def test_round_trip_and_sizes(text, capacity, overlap):
 
 def test_cuts_at_the_strongest_boundary():
     text = "a = 1\n" * 30 + "\n\ndef f():\n" + "    b = 2\n" * 30
-    (_, _, end), (start, *_rest) = b.bisect(text, 300)
+    (_, _, end), (start, *_rest) = b.bisect(text, 320)
     assert text[end:].startswith("def f") and start == end
 
 
