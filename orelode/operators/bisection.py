@@ -60,7 +60,7 @@ def bisect(text: str, capacity: int, overlap: int = 0) -> list[tuple[int, int, i
         return []
     if not 0 <= overlap < capacity:
         raise ValueError("the overlap must be smaller than the capacity")
-    room, todo, cores = max(2, capacity - overlap), [(0, len(text))], []
+    room, todo, cores = capacity - overlap, [(0, len(text))], []
     while todo:
         s, e = todo.pop()
         if e - s <= room:
