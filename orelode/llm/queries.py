@@ -1,11 +1,32 @@
-"""Queries of the operators on training data: evaluation items in documents (p7) and texts that are no prose (p8)."""
+"""Queries of the operators on training data: credentials (p5), packed texts (p6), evaluation items in documents (p7), texts
+that are no prose (p8)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orelode.llm import leakage, quality
-from orelode.sources.tables import table
+from orelode.llm import credentials, leakage, packing, quality
+from orelode.sources.tables import budget, table
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return credentials.find_credentials(table(spark, root, "files"))
+
+
+def p5_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return credentials.redact(table(spark, root, "files"))
+
+
+def p6_pack_512(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack_texts(table(spark, root, "documents"), budget(spark, root, "pack_512")[0])
+
+
+def p6_pack_2048(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack_texts(table(spark, root, "documents"), budget(spark, root, "pack_2048")[0])
+
+
+def p6_pack_4096(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack_texts(table(spark, root, "documents"), budget(spark, root, "pack_4096")[0])
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -20,5 +41,5 @@ def p8_statistics(spark: SparkSession, root: str) -> DataFrame:
     return quality.text_statistics(table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_redacted, p6_pack_512, p6_pack_2048, p6_pack_4096, p7_found, p8_found, p8_statistics)}
 ORACLES: dict[str, str] = {}
