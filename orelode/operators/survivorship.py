@@ -95,9 +95,9 @@ def trust_of(source_trust: DataFrame) -> dict[str, int]:
 
 def survivors(
     rows: DataFrame, trust: dict[str, int], group: str = "finding_id", ident: str = "issue_id", source: str = "source",
-    recency: str = "created_at", fields=ISSUE_FIELDS,
+    recency: str = "created_at", fields=ISSUE_FIELDS, singles: bool = False,
 ) -> DataFrame:
-    """(group, field_name, id) of the surviving value of each field, for each group with two or more different ids.
+    """(group, field_name, id) of the surviving value of each field, for each group with two or more different ids, or with ``singles`` for every group.
 
     The order is lower rank, later time (missing last), smaller id. See the module's text for the defined cases.
     """
@@ -106,7 +106,7 @@ def survivors(
     best = p.groupBy("_group").agg(
         F.min("_id").alias("_least"), F.max("_id").alias("_most"),
         *[F.min(F.when(f.usable(F.col(f"_v_{f.name}")), order)).alias(f"_b_{f.name}") for f in fields],
-    ).where("_least <> _most")
+    ).where("true" if singles else "_least <> _most")
     pairs = F.array(*[F.struct(F.lit(f.name).alias("field_name"), F.col(f"_b_{f.name}._id").alias("id")) for f in fields])
     return (
         best.select(F.col("_group").alias(group), F.inline(pairs)).where("id is not null")
@@ -114,18 +114,24 @@ def survivors(
     )
 
 
-def merged_records(rows: DataFrame, chosen: DataFrame, group: str = "finding_id", ident: str = "issue_id", fields=ISSUE_FIELDS) -> DataFrame:
+def merged_records(rows: DataFrame, chosen: DataFrame, group: str = "finding_id", ident: str = "issue_id", fields=ISSUE_FIELDS, every: bool = False) -> DataFrame:
     """One record per group: each field's surviving value with the id of the row it came from.
 
+    With ``every``, groups for which no field was chosen get a record too, with nulls.
+
     Joined on the id, not on the group, so that a hot group stays spread; replayed rows are reduced to one first.
     """
     values = rows.where(F.col(ident).isNotNull()).groupBy(F.col(ident).cast("bigint").alias(ident)).agg(
         *[F.first(f.name, ignorenulls=True).cast("string").alias(f"_v_{f.name}") for f in fields])
     value = F.coalesce(*[F.when(F.col("field_name") == f.name, F.trim(f"_v_{f.name}")) for f in fields])
     out = chosen.join(values, ident).select(group, "field_name", ident, value.alias("value"))
-    return out.groupBy(group).agg(*[x for f in fields for x in (
+    records = out.groupBy(group).agg(*[x for f in fields for x in (
         F.max(F.when(F.col("field_name") == f.name, F.col("value"))).alias(f.name),
         F.max(F.when(F.col("field_name") == f.name, F.col(ident))).alias(f"{f.name}_{ident}"))])
+    if not every:
+        return records
+    keys = rows.where(F.col(ident).isNotNull()).select(plain(F.col(group)).alias(group)).where(F.col(group) != "").distinct()
+    return keys.join(records, group, "left")
 
 
 def discover_truth(

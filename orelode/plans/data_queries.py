@@ -14,7 +14,9 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_records(spark: SparkSession, root: str) -> DataFrame:
-    return survivorship.merged_records(table(spark, root, "issues"), p2_found(spark, root))
+    issues = table(spark, root, "issues")
+    chosen = survivorship.survivors(issues, survivorship.trust_of(table(spark, root, "source_trust")), singles=True)
+    return survivorship.merged_records(issues, chosen, every=True)
 
 
 def p2_truth(spark: SparkSession, root: str) -> DataFrame:
