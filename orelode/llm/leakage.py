@@ -4,7 +4,8 @@ The items (a small fixed table, its size checked) become a BM25 inverted index,
 each document is a query. Retrieval is block-max WAND with one fixed threshold: the sum of the query terms' list maxima,
 then the sum of their maxima in a block of items, must reach the threshold before a single item is scored.
 A block's bound is never below the scores in it, so every item at or above the threshold is retrieved: no top-k.
-Retrieved pairs are verified on the whole document by aligning its words with the item's.
+A leak may also lie in pieces far apart, each below the threshold: pairs whose item has that share of its weight in the
+document's terms as a whole are retrieved too. Retrieved pairs are verified on the whole document by aligning its words with the item's.
 
 No shuffle: one pass over the documents. Defined cases: null and empty texts and items never match; copies of a document
 count each for themselves; an empty item table yields an empty result; items with the same text are reported each; very long texts are passed through in
@@ -68,7 +69,7 @@ class Index:
                 self.at[g].append((j, i, grams[g] <= common))
 
     def retrieve(self, docs: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-        """(document, item), both by position, where some passage of the document's term ids holds ``threshold`` of the item."""
+        """(document, item), both by position, where some passage of the document's term ids, or the document as a whole, holds ``threshold`` of the item."""
         lengths = np.array([len(d) for d in docs])
         strides = -(-lengths // STRIDE)
         owner = np.repeat(np.arange(len(docs)), strides)
@@ -87,7 +88,16 @@ class Index:
             last = min(s + STRIDES + 1, len(starts))  # the stride after the slice completes its last passage
             base, until = starts[s], starts[last] if last < len(starts) else len(ids)
             out |= self._slice(ids[base:until], starts[s:last] - base, owner[s:last], threshold)
-        return sorted(out)
+        return sorted(out | self._whole(docs, threshold))
+
+    def _whole(self, docs: list[np.ndarray], threshold: float) -> set[tuple[int, int]]:
+        """The same for the terms of a document all together, each counted once."""
+        out: set[tuple[int, int]] = set()
+        for k, ids in enumerate(docs):
+            ids = np.unique(ids)
+            if self.list_max[ids].sum() >= threshold:
+                out.update((k, j) for j in np.flatnonzero(self.impact[ids].sum(0) >= threshold).tolist())
+        return out
 
     def _slice(self, ids: np.ndarray, starts: np.ndarray, owner: np.ndarray, threshold: float) -> set[tuple[int, int]]:
         def passages(x: np.ndarray) -> np.ndarray:
