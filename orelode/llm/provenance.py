@@ -36,8 +36,8 @@ from orelode.sources.tables import small_rows
 BOUND = 20_000
 #: Words in a shingle, and the share of a text's shingles in one release from which it is labelled a copy.
 SHINGLE, COPIED = 5, 0.8
-#: Share of literal characters from which a text of some length is labelled a body of data.
-LITERALS, BODY = 0.8, 1_000
+#: A text of at least BODY characters is labelled a body of data from this share of literal characters on, or from the lower one if hardly any token is a name.
+LITERALS, FEW_NAMES, NAMES, BODY = 0.8, 0.5, 0.05, 1_000
 
 #: Share of labelled rows that may score lower than an unlabelled row that is left out of the second training.
 MIXED = 0.05
@@ -139,7 +139,7 @@ def features(path: str, text: str, releases: Releases) -> tuple[bool, list[float
         math.log2(1 + max((len(t) for t in count if t[0] in "\"'"), default=0)), float(bool(folders & _VENDOR)), float(bool(folders & _BUILT)), float(bool(folders & _GENERATED)), float("min" in groups),
         float("gen" in groups), float("version" in groups), named_so, float(named_so and bool(folders & _VENDOR)), copied, covers,
     ]
-    return noticed or copied >= COPIED or covers >= COPIED or (literals >= LITERALS and n >= BODY), row
+    return noticed or copied >= COPIED or covers >= COPIED or n >= BODY and (literals >= LITERALS or literals >= FEW_NAMES and named <= NAMES * total), row
 
 
 def _run(texts: list[str]):
