@@ -6,8 +6,6 @@ written as literal maps, so nothing is shuffled for them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,12 +142,9 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], lines: int) -
 
 def diff_keys(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, state): resolved, remaining or new."""
-    b, a = before.select(*keys).distinct().withColumn("_b", F.lit(1)), after.select(*keys).distinct().withColumn("_a", F.lit(1))
-    conditions = [b[k].eqNullSafe(a[k]) for k in keys]
-    from functools import reduce
-    joined = b.join(a, reduce(lambda x, y: x & y, conditions), "full")
-    state = F.when(F.col("_a").isNull(), "resolved").when(F.col("_b").isNull(), "new").otherwise("remaining")
-    return joined.select(*[F.coalesce(b[k], a[k]).alias(k) for k in keys], state.alias("state"))
+    sides = before.select(*keys, F.lit(1).alias("b"), F.lit(0).alias("a")).union(after.select(*keys, F.lit(0).alias("b"), F.lit(1).alias("a")))
+    seen = sides.groupBy(*keys).agg(F.max("b").alias("b"), F.max("a").alias("a"))
+    return seen.select(*keys, F.when(F.col("a") == 0, "resolved").when(F.col("b") == 0, "new").otherwise("remaining").alias("state"))
 
 
 def severity_rank(severity: Column) -> Column:

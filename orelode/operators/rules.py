@@ -90,7 +90,7 @@ TOKEN_WORD = r"(?i)(token|secret|password|api[_-]?key|session|reset|otp|nonce)"
 SQL_SINK = r"\.\s*execute(?:many|script)?\s*\(|\braw\s*\("
 EVIDENCE_CHARS, NEAR, SQL_NEAR = 120, 180, 250
 # Whole strings and comments; what is left of a prefix without them shows whether it ends inside one.
-PY_LEXEMES = r'(?s)"""(?:[^"\\]|\\.|"(?!""))*"""|' + r"'''(?:[^'\\]|\\.|'(?!''))*'''|" + r'"(?:[^"\\\n]|\\.)*"|' + r"'(?:[^'\\\n]|\\.)*'|#[^\n]*\n"
+PY_LEXEMES = r'(?s)"""(?:[^"\\]|\\.|"{1,2}[^"\\]|"{1,2}\\.)*"""|' + r"'''(?:[^'\\]|\\.|'{1,2}[^'\\]|'{1,2}\\.)*'''|" + r'"(?:[^"\\\n]|\\.)*"|' + r"'(?:[^'\\\n]|\\.)*'|#[^\n]*\n"
 JS_LEXEMES = r'(?s)"(?:[^"\\\n]|\\.)*"|' + r"'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|//[^\n]*\n|/\*.*?\*/"
 
 

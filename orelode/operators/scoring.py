@@ -86,9 +86,13 @@ def score(projects: DataFrame, facts: DataFrame, findings: DataFrame, partial: C
 
 
 def overall(scores: DataFrame) -> DataFrame:
-    """(project_id, overall_score, dimensions_evaluated): weighted mean over what was evaluated, null if nothing was."""
-    return scores.groupBy("project_id").agg(
-        F.round(F.try_divide(F.sum(F.col("score") * F.col("weight")), F.sum(F.when(F.col("score").isNotNull(), F.col("weight")))), 1).alias("overall_score"), F.count("score").cast("int").alias("dimensions_evaluated"))
+    """(project_id, overall_score, dimensions_evaluated): weighted mean over what was evaluated, to one place, halves up; null if nothing was.
+
+    Weights count in hundredths, so that the mean is one division of whole numbers and the rounding is exact.
+    """
+    w = F.round(F.col("weight") * 100).cast("bigint")
+    r = scores.groupBy("project_id").agg(F.sum(F.col("score") * w).alias("n"), F.sum(F.when(F.col("score").isNotNull(), w)).alias("d"), F.count("score").cast("int").alias("dimensions_evaluated"))
+    return r.select("project_id", (F.floor((20 * F.col("n") + F.col("d")) / (2 * F.col("d"))) / 10).alias("overall_score"), "dimensions_evaluated")
 
 
 def file_risk(findings: DataFrame) -> DataFrame:

@@ -32,44 +32,77 @@ def sources(spark: SparkSession, root: str, *more: str) -> DataFrame:
 _LANG = "CASE lower(regexp_extract(path, '\\.[^./]*$')) WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.java' THEN 'java' WHEN '.cpp' THEN 'cpp' WHEN '.cc' THEN 'cpp' WHEN '.h' THEN 'cpp' WHEN '.hpp' THEN 'cpp' ELSE 'other' END"
 
 
+# A text with a match and one with a near miss, for each rule that the given files hardly ever break. They stand, with p_size empty lines before them, beside the files.
+CASES = {
+    "hardcoded_secret": ("api_key = 'zq81xkd0'", "password = 'changeme1'"), "dangerous_eval_py": ("y = eval(x)", "s = 'eval(x)'  # eval(x)"), "dangerous_eval_js": ("var y = eval(x);", "// eval(x)"),
+    "empty_exception_handler_py": ("try:\n    a()\nexcept:\n    pass", "except ValueError:"), "empty_exception_handler_js": ("try { a() } catch (e) { }", "catch (e) { log(e) }"),
+    "sql_concat": ("cur.execute(\"SELECT a FROM t WHERE b = \" + name)", "msg = \"select this: \" + name"), "tls_verification_disabled_js": ("process.env.NODE_TLS_REJECT_UNAUTHORIZED = '0'", "// NODE_TLS_REJECT_UNAUTHORIZED = 0"),
+    "unsafe_deserialization_js": ("const s = require('node-serialize')", "serialize(a)"), "todo_marker": ("x = 1  # TODO later", "todo_list = 1"),
+    "insecure_auth_cookie_js": ("res.cookie('session_id', v, { httpOnly: false })", "res.cookie('session_id', v, { httpOnly: true })"), "nosql_untrusted_filter_js": ("const u = User.findOne(req.body)", "list.find(req.body)"),
+    "unsafe_archive_extract_js": ("zip.extractAllTo(req.body.dir)", "zip.extractAllTo('out')"), "xss_unsafe_html_sink_js": ("el.innerHTML = req.query.q;", "el.innerHTML = '';"),
+    "react_dangerous_html_js": ("<p dangerouslySetInnerHTML={{ __html: x }} />", "const dangerouslySetInnerHTML = 1"), "debug_config_enabled_js": ("start({ debug: true })", "start({ debug: false })"),
+    "weak_crypto_hash_js": ("// password\nconst h = createHash('md5')", "const h = createHash('md5')"), "insecure_random_secret_js": ("const token = Math.random()", "const x = Math.random()"),
+    "sensitive_logging_js": ("console.log('x', password)", "console.log('x')"), "blocking_call_in_async_js": ("async function f() { fs.readFileSync(p) }", "function f() { fs.readFileSync(p) }"),
+    "unsafe_tempfile_js": ("const p = os.tmpdir() + '/x'", "const p = os.tmpdir()"), "unsafe_redirect_js": ("res.redirect(req.query.next)", "res.redirect('/home')"),
+    "frontend_token_storage_js": ("localStorage.setItem('jwt', t)", "localStorage.setItem('theme', t)"), "plaintext_password_handling_js": ("const password = req.body.password", "const password = hash(x)"),
+    "mongoose_money_number_no_validation_js": ("amount: { type: Number }", "amount: { type: Number, min: 0 }"), "js_numeric_coercion_default_js": ("const n = Number(x) || 0", "const n = Number(x)"),
+    "js_date_slice_without_validation_js": ("row.createdAt.slice(0, 10)", "row.name.slice(0, 10)"), "js_zero_baseline_fallback_js": ("if (!previous) return 0;", "if (!other) return 0;"),
+    "js_unknown_type_default_js": ("if (a.type === 'x') { b() } else { c() }", "if (a.type === 'x') { b() }"), "process_global_auth_cache_js": ("let cachedUser\ncachedUser = req.user = u", "let user"),
+    "nosql_untrusted_filter_py": ("db.users.find_one(request.json)", "names.find(request.json)"), "unsafe_archive_extract_py": ("zipfile.ZipFile(p).extractall(d)", "zipfile.ZipFile(p).namelist()"),
+    "debug_config_enabled_py": ("app.run(debug=True)", "app.run(debug=False)"), "weak_crypto_hash_py": ("password_hash = hashlib.md5(x)", "h = hashlib.md5(x)"),
+    "insecure_random_secret_py": ("token = random.choice(x)", "x = random.choice(y)"), "sensitive_logging_py": ("logger.info('t', token)", "logger.info('t')"),
+    "blocking_call_in_async_py": ("async def f():\n    time.sleep(1)", "def f():\n    time.sleep(1)"), "unsafe_tempfile_py": ("p = tempfile.mktemp()", "p = tempfile.mkstemp()"),
+    "unsafe_redirect_py": ("return redirect(request.args['next'])", "return redirect('/home')"), "plaintext_password_handling_py": ("password = request.form['p']", "password = hashed(p)"),
+}
+
+
+def _with_cases(spark: SparkSession, root: str, r: rules.Rule) -> DataFrame:
+    """The files and the rule's cases: file_id, language, content."""
+    yes, no = CASES[r.key]
+    text = F.concat(F.repeat(F.lit("\n"), F.col("p_size")), F.when(F.col("p_partkey") % 2 == 0, yes).otherwise(no), F.lit("\n"))
+    cases = table(spark, root, "part").select((-1 - F.col("p_partkey")).alias("file_id"), F.lit(r.languages[0]).alias("language"), text.alias("content"))
+    return sources(spark, root).select("file_id", "language", "content").unionByName(cases)
+
+
 def _rule_sql(r: rules.Rule) -> str:
-    """All matches of a pattern by pieces; guards are added where SQL can say them."""
-    p = r.pattern.replace("'", "''")
+    """All matches of a pattern by pieces, with the guards said in SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    p = quoted(r.pattern)
     langs = ", ".join(f"'{x}'" for x in r.languages)
-    guard = "true"
-    line = "(regexp_extract(before, '[^\\n]*$') || m || regexp_extract(after, '^[^\\n]*'))"
-    if "sql_sink" in r.guards:
-        near = "(right(before, length(regexp_extract(before, '[^\\n]*$')) + 250) || m || left(after, length(regexp_extract(after, '^[^\\n]*')) + 250))"
-        guard = f"regexp_matches({near}, '{rules.SQL_SINK}')"
-    if "real_value" in r.guards:
-        value = f"regexp_replace(lower(regexp_extract(m, '{p}', 2)), '[\\s_\\-]', '', 'g')"
-        names = ", ".join(f"'{x}'" for x in rules.PLACEHOLDERS)
-        near = "(right(before, length(regexp_extract(before, '[^\\n]*$')) + 180) || m || left(after, length(regexp_extract(after, '^[^\\n]*')) + 180))"
-        guard = (
-            f"{value} NOT IN ({names}) AND regexp_replace({value}, '[0-9]+$', '') NOT IN ({names}) AND len(list_distinct(string_split({value}, ''))) > 1 AND NOT regexp_matches(trim({line}), '^\\s*(#|//|/\\*|\\*)')"
-            f" AND NOT regexp_matches(regexp_replace({near}, '(?i)\\b(example|sample|dummy|fake|placeholder)\\.[a-z]{{2,}}\\b', '', 'g'), '{rules.SAMPLE_WORD}')"
-        )
+    head, tail = "regexp_extract(before, '[^\\n]*$')", "regexp_extract(after, '^[^\\n]*')"
+    line = f"({head} || m || {tail})"
+    near = lambda k: f"(right(before, length({head}) + {k}) || m || left(after, length({tail}) + {k}))"
+    above = f"(regexp_extract(before, '(?:[^\\n]*\\n){{0,2}}[^\\n]*$') || m || {tail})"
+    value, names = f"regexp_replace(lower(regexp_extract(m, {p}, 2)), '[\\s_\\-]', '', 'g')", ", ".join(f"'{x}'" for x in rules.PLACEHOLDERS)
+    outside = lambda lexemes, marks: f"NOT regexp_matches(regexp_replace(before, {quoted(lexemes)}, '', 'g'), {quoted(marks)})"
+    py, js = outside(rules.PY_LEXEMES, "[\"'#]"), outside(rules.JS_LEXEMES, "[\"'`]|//|/\\*")
+    say = {
+        "real_value": f"{value} NOT IN ({names}) AND regexp_replace({value}, '[0-9]+$', '') NOT IN ({names}) AND len(list_distinct(string_split({value}, ''))) > 1",
+        "no_sample": f"NOT regexp_matches(trim({line}), '^\\s*(#|//|/\\*|\\*)') AND NOT regexp_matches(regexp_replace({near(180)}, {quoted(rules.SAMPLE_HOST)}, '', 'g'), {quoted(rules.SAMPLE_WORD)})",
+        "python_code": f"(l <> 'python' OR {py})", "code": f"CASE WHEN l = 'python' THEN {py} ELSE {js} END", "sql_sink": f"regexp_matches({near(250)}, {quoted(rules.SQL_SINK)})",
+        "hash_context": f"regexp_matches({above}, {quoted(rules.HASH_WORD)})", "token_context": f"regexp_matches({above}, {quoted(rules.TOKEN_WORD)})", "open_cookie": "regexp_matches(m, '(?i)\\b(httpOnly|secure)\\s*:\\s*false\\b')",
+    }
+    yes, no = (quoted(x) for x in CASES[r.key])
     return f"""
-WITH f AS (SELECT file_id, content, {_LANG} AS l FROM files WHERE regexp_matches(content, '{p}')),
-s AS (SELECT file_id, content, string_split_regex(content, '{p}') AS pieces, regexp_extract_all(content, '{p}') AS ms FROM f WHERE l IN ({langs})),
-e AS (SELECT file_id, content, ms[i] AS m, array_to_string(list_transform(range(1, i + 1), lambda k: pieces[k] || CASE WHEN k < i THEN ms[k] ELSE '' END), '') AS before FROM s, LATERAL (SELECT unnest(range(1, len(ms) + 1)) AS i)),
+WITH c AS (SELECT file_id, content, {_LANG} AS l FROM files UNION ALL
+  SELECT -1 - p_partkey, repeat(chr(10), p_size) || CASE WHEN p_partkey % 2 = 0 THEN {yes} ELSE {no} END || chr(10), '{r.languages[0]}' FROM part),
+s AS (SELECT file_id, l, content, string_split_regex(content, {p}) AS pieces, regexp_extract_all(content, {p}) AS ms FROM c WHERE l IN ({langs}) AND regexp_matches(content, {p})),
+e AS (SELECT file_id, l, content, ms[i] AS m, array_to_string(list_transform(range(1, i + 1), lambda k: pieces[k] || CASE WHEN k < i THEN ms[k] ELSE '' END), '') AS before FROM s, LATERAL (SELECT unnest(range(1, len(ms) + 1)) AS i)),
 a AS (SELECT *, substr(content, length(before) + length(m) + 1) AS after FROM e)
-SELECT file_id, (length(before) - length(replace(before, chr(10), '')) + 1)::INT AS line, substr(m, 1, 120) AS evidence FROM a WHERE {guard}"""
+SELECT file_id, (length(before) - length(replace(before, chr(10), '')) + 1)::INT AS line, substr(m, 1, 120) AS evidence FROM a WHERE {" AND ".join(say[g] for g in r.guards) or "true"}"""
 
 
 def _rule_query(r: rules.Rule):
     def run(spark, root):
-        return rules.scan(sources(spark, root), ["file_id"], (r,)).select("file_id", "line", "evidence")
+        return rules.scan(_with_cases(spark, root, r), ["file_id"], (r,)).select("file_id", "line", "evidence")
 
-    run.__name__ = f"s28_{r.key}"
     return run
 
 
 for _r in rules.RULES:
-    _f = _rule_query(_r)
-    QUERIES[_f.__name__] = _f
-    if rules.re2(_r.pattern) and not ({"code", "python_code", "hash_context", "token_context", "open_cookie"} & set(_r.guards)):
-        ORACLES[_f.__name__] = _rule_sql(_r)
+    QUERIES[f"s28_{_r.key}"] = _rule_query(_r)
+    if rules.re2(_r.pattern):
+        ORACLES[f"s28_{_r.key}"] = _rule_sql(_r)
 
 
 @query("SELECT file_id, count(*)::INT AS lines_with_todo FROM (SELECT file_id, unnest(string_split(content, chr(10))) AS l FROM files) WHERE regexp_matches(l, '(?i)#\\s*(TODO|FIXME)|//\\s*(TODO|FIXME)') GROUP BY 1")
@@ -197,7 +230,7 @@ def s24_scores(spark, root):
     return _scores(spark, root)
 
 
-@query(_SCORES + "SELECT project_id, round(sum(score * weight) / nullif(sum(CASE WHEN score IS NOT NULL THEN weight END), 0), 1) AS overall_score, count(score)::INT AS dimensions_evaluated FROM scores GROUP BY 1")
+@query(_SCORES + "SELECT project_id, floor((20 * sum(score * round(weight * 100)::BIGINT) + sum(CASE WHEN score IS NOT NULL THEN round(weight * 100)::BIGINT END)) / (2 * sum(CASE WHEN score IS NOT NULL THEN round(weight * 100)::BIGINT END))) / 10 AS overall_score, count(score)::INT AS dimensions_evaluated FROM scores GROUP BY 1")
 def s24_overall(spark, root):
     return scoring.overall(_scores(spark, root))
 
