@@ -28,14 +28,21 @@ def make_session(master: str = "local[8]", shuffle_partitions: int = 8, **more:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder so that a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: the one the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is unset, as in tests, a
-    folder of this machine is used.
+    Only on a local master, as in tests, a temporary folder of this machine stands in for it; a cluster without the setting is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orelode-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orelode-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder so that a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
