@@ -48,7 +48,14 @@ _OPTION = re.compile(r"(?i)(?<![\w\-])--?" + _NAME + r"[ =](?P<v>[^\s'\"`<>]+)")
 _DEFAULT = re.compile(r"(?i)(?<![\w\-])" + _NAME + r"[\"'\])]*\s*(?:\|\||\?\?|\bor\b)\s*(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])+)(?P=q)")
 #: a name and its value as two entries of a list of settings
 _PAIR = re.compile(r"(?i)\b(?:key|name)[\"']?\s*:\s*[\"']?" + _NAME + r"[\"']?\s*,?\s*[\"']?value[\"']?\s*:[ \t]*[\"']?(?P<v>[^\s'\"]+)")
+#: a password set in a statement to a database
+_STATEMENT = re.compile(r"(?i)\b(?:ALTER|CREATE)\s+(?:ROLE|USER|LOGIN)\b[^;\n]{0,200}?\b(?P<name>PASSWORD|IDENTIFIED\s+BY)\s*=?\s*\\?['\"]?(?P<v>[^\s'\"`;\\]+)")
 _LOGIN = re.compile(r"(?i)\b(?P<name>auth|credentials?|login)\s*[=(:]\s*\(?\s*[\"'][^\"'\n]+[\"']\s*,\s*[\"'](?P<v>[^\"'\n]+)[\"']")
+#: literals side by side or added up, one value in pieces
+_PIECE = r"(?:\"(?:\\.|[^\"\n\\])*\"|'(?:\\.|[^'\n\\])*')"
+_JOINED = re.compile(_PIECE + r"(?:[ \t]*(?:\+|\\)?[ \t]*\r?\n?[ \t]*(?:\+[ \t]*)?" + _PIECE + r")+")
+_PIECES = re.compile(_PIECE)
+_ASSIGNED = re.compile(r"(?i)" + _NAME + r"[\"']?\]?\s*(?::\s*[\w.<>\[\] ]{1,30}=|:=|=|:)\s*\(?\s*$")
 _COMMENT = re.compile(r"^[ \t]*(?:#|//|/?\*|--|;|<!--)[^\n]*|(?<=[ \t;{}])(?://|#) [^\n]*", re.M)
 _CONFIG = re.compile(r"(?i)(?:^|/)(?:\.env[^/]*|[^/]*Dockerfile[^/]*|[^/]*\.(?:env|ya?ml|toml|ini|cfg|conf|properties|json|xml|txt|example|tf|tfvars|pem|key))$")
 _LITERAL = re.compile(r"(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\]){16,4000})(?P=q)|(?<![\w+/=])(?P<v2>[A-Za-z0-9+/]{24,400}={0,2})(?![\w+/=])")
@@ -60,7 +67,7 @@ _PLACEHOLDER = re.compile(
     r"(?i)^(?:x{3,}|\*+|\.{2,}|-+|_+|0+|1234\d*|<.*>|\[.*\]|\{.*\}|%.*%|__.*__|\$.*|none|null|nil|true|false|undefined|user|host|pass\w{0,6}|pwd|secret|token|key|string|str|todo|n/?a|tbd|redacted|hidden|masked|(?:my|the|some|your|an?)[_\- ].*)$"
     r"|change[_\-]?(?:me|this|it)|replace[_\-]?(?:me|this|with)|your[_\-]|[_\-]here\b|set[_\-]?me|fill[_\-]?(?:me|in)|placeholder|dummy|example|sample|redacted|insert[_\-]|xxxx|\*{3,}|\.\.\.|\$\{|\{\{|<[a-z_ \-]+>|%\(|\$\("
 )
-_LOOKUP = re.compile(r"(?i)^(?:[\w.]*(?:environ|getenv|env|vault|config|settings|secrets?|ssm|keyring|process)[.\[(]|arn:|(?:file|env|vault|ssm|secret|op|ref|https?)://?|/[\w./\-]+$|\./|[a-z_]\w*\(|[a-z_]\w*\[|!|&|\|$|>$)")
+_LOOKUP = re.compile(r"(?i)^(?:[\w.]*(?:environ|getenv|env|vault|config|settings|secrets?|ssm|keyring|process)[.\[(]|arn:|(?:file|env|vault|ssm|secret|op|ref|https?)://?|/[\w./\-]+$|\./|[a-z_]\w*\(|[a-z_]\w*\[|!(?:[a-z]+|\w+ )$|&|\|$|>$)")
 _HASHED = re.compile(r"^(?:\$2[abxy]\$|\$argon2|\$[156]\$|pbkdf2|sha\d+[:$\-]|md5[:$]|\{SHA)|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^data:|^ssh-(?:rsa|ed)|BEGIN (?:PUBLIC|CERT)", re.I)
 
 
@@ -71,10 +78,11 @@ def secret(value: str) -> bool:
         return False
     lower, upper, digit = (bool(re.search(c, v)) for c in ("[a-z]", "[A-Z]", r"\d"))
     if digit:
-        return (lower or upper) and not re.fullmatch(r"v?\d+(?:\.\d+)+\w*|(?:[A-Za-z_]+\.)+\w+|\d+[a-z]{1,2}|0x[0-9a-fA-F]{1,8}", v)
+        return (lower or upper) and not re.fullmatch(r"v?\d+(?:\.\d+)+\w*|(?:[A-Za-z_]+\.)+[A-Za-z_]*|(?:[a-z_]+\.)+[a-z_]+\d{1,2}|\d+[a-z]{1,2}|0x[0-9a-fA-F]{1,8}", v)
     if re.search(r"[!@#$%^&*+=?~|]", v):
         return len(v) >= 8 and (lower or upper) and not re.search(r"[(){}\[\]<>]", v)
-    return len(v) >= 16 and lower and upper and len(re.findall(r"[a-z][A-Z]|[A-Z]{2}[a-z]", v)) > len(v) / 5 and v.isalnum()  # letters only: random, not words
+    turns = len(re.findall(r"[a-z][A-Z]|[A-Z]{2}[a-z]", v))  # letters only: random, not words
+    return lower and upper and v.replace(".", "").isalnum() and (len(v) >= 16 and turns > len(v) / 5 and "." not in v or len(v) >= 12 and turns > len(v) * 0.24)
 
 
 _STEMS = ("pass", "pw", "secret", "token", "auth", "login", "bearer", "credential", "kennwort", "contrase", "clave", "senha", "mdp", "parola", "wachtwoord")
@@ -120,7 +128,7 @@ def _plain(text: str, config: bool) -> Iterator[tuple[int, int]]:
         if not _PLACEHOLDER.search(m[1]) and not _LOOKUP.search(m[1]) and len(m[1]) >= 4 and not m[1].startswith(("{", "%", "<", ":")):
             yield m.span(1)
     names = names_in(text)
-    for p in () if not names else (_PARAM, _QUOTED, _DEFAULT, _OPTION, _LOGIN, *((_BARE, _SPACED, _XML, _PAIR) if config else ())):
+    for p in () if not names else (_PARAM, _QUOTED, _DEFAULT, _OPTION, _STATEMENT, _LOGIN, *((_BARE, _SPACED, _XML, _PAIR) if config else ())):
         for m in p.finditer(text):
             g = m.groupdict()
             n, k = (g["name"], "v") if g.get("v") is not None else (g.get("name2"), "v2")
@@ -148,8 +156,14 @@ def find(text: str | None, path: str | None = None) -> list[tuple[int, int, int]
         k = "v" if m["v"] is not None else "v2"
         if any(_FORM.search(x) or _BLOCK.search(x) or any(True for _ in _plain(x, True)) for x in _decoded(m[k])):
             spans.append((m.start(k), *m.span(k)))
+    for m in _JOINED.finditer(text):
+        pieces = [(p.start() + 1, p.end() - 1) for p in _PIECES.finditer(text, m.start(), m.end())]
+        value = "".join(text[a:b] for a, b in pieces)
+        head = _ASSIGNED.search(text, max(0, m.start() - 120), m.start())
+        if _FORM.fullmatch(value) and not _PLACEHOLDER.search(value[4:]) or head and _named(head["name"], value):
+            spans += [(pieces[0][0], a, b) for a, b in pieces]
     out: list[tuple[int, int, int]] = []
-    for at, s, e in sorted(spans, key=lambda x: (x[0], -x[2])):
+    for at, s, e in sorted(spans, key=lambda x: (x[1], -x[2], x[0])):
         if not out or s >= out[-1][2]:
             out.append((at, s, e))
         elif e > out[-1][2]:
