@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orelode.session import spread
+
 # Where requests' values come from, sinks, cleaners.
 REQUESTS = ("request", "req")
 REQUEST_PARTS = frozenset("args form json query_params query params body".split())
@@ -295,4 +297,4 @@ def read_python(files: DataFrame, keys: dict[str, str], content: str = "content"
     """The rows of every Python text of ``files`` (the caller filters by language); keys: column to DDL type (bigint or string) carried along."""
     need = files.where(F.col(content) != "").select(*[F.col(k).cast(t) for k, t in keys.items()], content)
     types = [pa.int64() if t == "bigint" else pa.string() for t in keys.values()]
-    return need.mapInArrow(_run(list(keys), types), ", ".join(f"{k} {t}" for k, t in keys.items()) + ", " + DDL)
+    return spread(need).mapInArrow(_run(list(keys), types), ", ".join(f"{k} {t}" for k, t in keys.items()) + ", " + DDL)

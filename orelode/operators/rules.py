@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orelode.session import spread
+
 PY, JS, ANY = ("python",), ("javascript", "typescript"), ("python", "javascript", "typescript", "java", "cpp", "other")
 
 
@@ -145,7 +147,8 @@ def scan(files: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES, gua
     ``files`` has ``language`` (a canonical name) and ``content``. emit_ord orders a file's matches by rule, then place.
     """
     hits = [F.when(F.col("language").isin(*r.languages) & F.col("content").rlike(r.pattern), F.lit(k)) for k, r in enumerate(rules)]
-    found = files.where(F.col("content").isNotNull()).select(*keep, "language", "content", F.explode(F.array_compact(F.array(*hits))).alias("k"))
+    need = files.where(F.col("content").isNotNull()).select(*keep, "language", "content")
+    found = (spread(need) if len(rules) > 10 else need).select("*", F.explode(F.array_compact(F.array(*hits))).alias("k"))
     look = lambda f: F.element_at(F.array(*[F.lit(f(r)) for r in rules]), F.col("k") + 1)
     found = found.withColumn("pattern", look(lambda r: r.pattern))
     found = found.withColumn("pieces", F.expr("split(content, pattern, -1)")).withColumn("matches", F.expr("regexp_extract_all(content, pattern, 0)"))

@@ -46,3 +46,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """df, written to the shared folder so that a lost executor loses nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan gives fewer tasks than there are cores, as a small table of one file does; otherwise as it is.
+
+    Only for passes that cost far more than a shuffle of their rows. A large table has tasks enough and is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
