@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orelode.session import spread
+
 # Boundaries from strong to weak: a cut goes to the start of what follows the match.
 STRENGTHS = tuple(re.compile(p) for p in (
     r"\n[ \t\r]*\n(?=[^\s])",  # a blank line before something at the margin
@@ -151,4 +153,4 @@ def split_oversized(files: DataFrame, capacity: int, overlap: int, bodies: bool
     """
     python = F.coalesce(F.lower(F.trim("language")) == "python", F.lit(False))
     need = files.where(F.length("content") > capacity).select("file_id", "content", python.alias("python"))
-    return need.mapInArrow(_pieces(capacity, overlap, bodies), PIECE_SCHEMA)
+    return spread(need).mapInArrow(_pieces(capacity, overlap, bodies), PIECE_SCHEMA)

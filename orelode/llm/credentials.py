@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orelode.session import spread
+
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
 _BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 _FORM = re.compile(
@@ -206,9 +208,9 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_credentials(files: DataFrame) -> DataFrame:
     """(file_id, line): each line on which a credential begins."""
     need = files.where(F.col("content").isNotNull() & (F.col("content") != "")).select(F.col("file_id").cast("bigint"), "path", "content")
-    return need.mapInArrow(_run, "file_id bigint, line int")
+    return spread(need).mapInArrow(_run, "file_id bigint, line int")
 
 
 def redact(files: DataFrame) -> DataFrame:
     """(file_id, content) of every row of ``files``, credentials masked."""
-    return files.select(F.col("file_id").cast("bigint"), "path", "content").mapInArrow(_mask, "file_id bigint, content string")
+    return spread(files.select(F.col("file_id").cast("bigint"), "path", "content")).mapInArrow(_mask, "file_id bigint, content string")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from orelode.llm.textforms import words
+from orelode.session import spread
 from orelode.sources.tables import small_rows
 
 K1, B = 1.2, 0.75
@@ -204,4 +205,4 @@ def find_leaks(
     rows = sorted((int(r[0]), r[1]) for r in small_rows(items.where(f"trim({item_text}) <> '' and {item_key} is not null").select(item_key, item_text).distinct()))
     need = documents.where(f"{text} is not null and {text} <> '' and {key} is not null").select(documents[key].cast("bigint"), text)
     out = f"{key} bigint, {item_key} bigint, covered double"
-    return need.mapInArrow(_search(rows, threshold, share, key, item_key), out) if rows else documents.sparkSession.createDataFrame([], out)
+    return spread(need).mapInArrow(_search(rows, threshold, share, key, item_key), out) if rows else documents.sparkSession.createDataFrame([], out)

@@ -23,6 +23,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orelode.session import spread
+
 #: The rank file of the public tokenizer, and the pieces packed together in one task.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 GROUP = 100_000
@@ -110,6 +112,6 @@ def pack_texts(documents: DataFrame, capacity: int, key: str = "doc_id", text: s
         raise ValueError("a character may take four tokens")
     need = documents.where(f"{text} is not null and {text} <> '' and {key} is not null").select(documents[key].cast("bigint").alias("doc_id"), text)
     groups = -(-documents.count() // group) or 1
-    pieces = need.mapInArrow(_measure(capacity), PIECES)
+    pieces = spread(need).mapInArrow(_measure(capacity), PIECES)
     where = F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(groups)).alias("packed_with")
     return pieces.select("*", where).groupBy("packed_with").applyInArrow(_fill(capacity), PACKED)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm.validity import language_of
-from orelode.session import cut_lineage
+from orelode.session import cut_lineage, spread
 from orelode.sources.tables import small_rows
 
 #: Rows that the forest is trained on, at most (of about half of it labelled rows, as far as there are any).
@@ -161,7 +161,7 @@ def file_features(files: DataFrame, releases: DataFrame) -> DataFrame:
     texts = [r[0] for r in small_rows(releases.where("content <> ''").select("content"))]
     # `hash` of a string differs between processes, so shingles are only compared within one worker
     need = files.select(F.col("file_id").cast("bigint"), F.col("path").cast("string"), "content").where(F.col("content").rlike(r"\S") & language_of(files["language"]).isNotNull())
-    return need.mapInArrow(_run(texts), SCHEMA)
+    return spread(need).mapInArrow(_run(texts), SCHEMA)
 
 
 def find_unwritten(files: DataFrame, releases: DataFrame, bound: int = BOUND, trees: int = 40, depth: int = 12, seed: int = 7) -> DataFrame:

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from orelode.session import spread
+
 # Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the a an and or but if of to in on at by for from with without about into over after before until since as than that this these those it its is are was were be been being has have had do does did not no nor so too very can could will would should may might must there here when where which who whom whose what why how we you they he she i me us them him her our your their my his one only also just more most some any each every all both few many much such own same other another up down out off then once still even yet again because while between through during under above us let says said",
@@ -236,4 +238,4 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_statistics(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of statistics for each row of ``documents`` (SCHEMA)."""
-    return documents.select(documents[key].cast("bigint").alias("doc_id"), documents[text].alias("text")).mapInArrow(_run, SCHEMA)
+    return spread(documents.select(documents[key].cast("bigint").alias("doc_id"), documents[text].alias("text"))).mapInArrow(_run, SCHEMA)

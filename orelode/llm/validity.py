@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm import grammar
+from orelode.session import spread
 
 # Spellings of the languages, in lower case without white space.
 SPELLINGS = {
@@ -83,7 +84,7 @@ def check_files(files: DataFrame) -> DataFrame:
     """(file_id, project_id, language, valid, cause, parsed_as) of every file with a text and a supported language."""
     need = files.select(F.col("file_id").cast("bigint"), F.col("project_id").cast("string"), language_of(F.col("language")).alias("language"), "content")
     need = need.where(F.col("language").isNotNull() & F.col("content").rlike(r"\S"))
-    return need.mapInArrow(_run, "file_id bigint, project_id string, language string, valid boolean, cause string, parsed_as string")
+    return spread(need).mapInArrow(_run, "file_id bigint, project_id string, language string, valid boolean, cause string, parsed_as string")
 
 
 def rates(checked: DataFrame) -> DataFrame:
