@@ -20,6 +20,10 @@ import regex
 _OPEN = {"(": 0xE000, "[": 0xE400, "{": 0xE800}
 _CLOSE = {")": "(", "]": "[", "}": "{"}
 _ROLE = re.compile("\\[[\ue000-\uefff\\-]+\\]")
+_CHOICE = 0xF000
+#: Roles that cannot be played without one of some letters, and roles in which no ";" can stand.
+_NEEDS = {"switch": "CX", "module": "EM"}
+_ONE_LINE = frozenset("args expr params catch type array index pattern tuple sign object import list names ann any caps attr ptr fold".split())
 _RUN = re.compile(r"([^,]{1,24},n?)\1{2,}")
 _BRACKETS = re.compile(r"([()\[\]{}])")
 #: Entries kept per worker in each table of known tokens and groups; the tables are emptied beyond it.
@@ -41,28 +45,40 @@ class Grammar:
         self.kinds: dict[str, str] = {}
         self.groups: dict[tuple[str, str], str] = {}
         self.macros = {f"{b}{name}": _role(b, i) for b, rs in rules.items() for i, name in enumerate(rs)} | macros
-        self.rules = {b: [(regex.compile(self.expand(r)), name in sequences) for name, r in rs.items()] for b, rs in rules.items()}
+        flat = [(b, name, r) for b, rs in rules.items() for name, r in rs.items()]
+        self.rules = {b: [(chr(_CHOICE + k), name in sequences, _NEEDS.get(name, ""), name not in _ONE_LINE or b == "{" and name == "type") for k, (x, name, _) in enumerate(flat) if x == b] for b in rules}
+        self.top, self.prepare = chr(_CHOICE + len(flat)), prepare
+        self.master = self._master([*[r for _, _, r in flat], top])
         self.pieces: dict[tuple, bool] = {}
         self.cut = re.compile(cut, re.S)
-        self.top, self.prepare = regex.compile(self.expand(top)), prepare
 
     def expand(self, rule: str) -> str:
         """The rule as a pattern: short macros in place, the others as named groups that are called."""
         called: dict[str, str] = {}
-
-        def resolve(text: str) -> str:
-            def one(m: re.Match) -> str:
-                name, body = m[1], self.macros[m[1]]
-                if "«" not in body and len(body) < 60 or body.startswith("[\ue000-") or len(body) > 0 and _ROLE.fullmatch(body):
-                    return body
-                if name not in called:
-                    called[name] = ""
-                    called[name] = resolve(body)
-                return f"(?&{name})"
-            return re.sub("«([^«»]+)»", one, text)
-
-        rule = resolve(rule)
-        return "(?(DEFINE)" + "".join(f"(?P<{k}>{v})" for k, v in called.items()) + ")" + rule if called else rule
+        rule = self._resolve(rule, called)
+        return self._defined(called) + rule
+
+    def _resolve(self, text: str, called: dict[str, str]) -> str:
+        def one(m: re.Match) -> str:
+            name, body = m[1], self.macros[m[1]]
+            if "«" not in body and len(body) < 60 or _ROLE.fullmatch(body):
+                return body
+            if name not in called:
+                called[name] = ""
+                called[name] = self._resolve(body, called)
+            return f"(?&{name})"
+
+        return re.sub("«([^«»]+)»", one, text)
+
+    @staticmethod
+    def _defined(called: dict[str, str]) -> str:
+        return "(?(DEFINE)" + "".join(f"(?P<{k}>{v})" for k, v in called.items()) + ")" if called else ""
+
+    def _master(self, rules: list[str]) -> regex.Pattern:
+        """One pattern for all rules: the first letter of what is matched chooses the rule. So macros are compiled once."""
+        called: dict[str, str] = {}
+        resolved = [f"{chr(_CHOICE + k)}(?:{self._resolve(r, called)})" for k, r in enumerate(rules)]
+        return regex.compile(self._defined(called) + "(?:" + "|".join(resolved) + ")")
 
     def kind(self, token: str) -> str:
         k = self.fixed.get(token)
@@ -87,14 +103,14 @@ class Grammar:
         known = self.kinds
         return "".join([known.get(t) or (self.kind(t) if t else "") for t in self.tokens.findall(text)])
 
-    def matches(self, rule, sequence: bool, form: str) -> bool:
+    def matches(self, rule: str, sequence: bool, form: str) -> bool:
         """Whether the form follows the rule; a sequence of statements or members is tested piece by piece, each piece once."""
         if not sequence:
-            return rule.fullmatch(form) is not None
+            return self.master.fullmatch(rule + form) is not None
         known = self.pieces
         for piece in self.cut.findall(form):
             if (ok := known.get((rule, piece))) is None:
-                ok = rule.fullmatch(piece) is not None
+                ok = self.master.fullmatch(rule + piece) is not None
                 if len(known) > KNOWN:
                     known.clear()
                 if len(piece) < 2000:
@@ -111,8 +127,11 @@ class Grammar:
         if (c := self.groups.get(key)) is None:
             mask = 0
             for form in dict.fromkeys(self.prepare(inside, bracket)):  # readings, all of which count
-                for bit, (rule, sequence) in enumerate(self.rules[bracket]):
-                    if not mask >> bit & 1 and self.matches(rule, sequence, form):
+                ends = ";" in form
+                for bit, (rule, sequence, needs, statements) in enumerate(self.rules[bracket]):
+                    if mask >> bit & 1 or ends and not statements or form and needs and not any(c in form for c in needs):
+                        continue
+                    if self.matches(rule, sequence, form):
                         mask |= 1 << bit
             c = chr(_OPEN[bracket] + mask) if mask else ""
             if len(self.groups) > KNOWN:
@@ -244,7 +263,7 @@ def _script(typed: bool) -> Grammar:
         "PRE": "(?:I«(expr»n*|W«(expr»n*|Fw?«(for»n*|«ID»:n*|B«(expr»n*)",
         "CLASS": "«DEC»" + ("g*" if typed else "") + "c«ID»?«GEN»(?:e«U»)?" + ("(?:n*l«TYPE»(?:,«TYPE»)*+)?" if typed else "") + "n*«{class»",
         "FUNC": "a?f\\*?«ID»?«GEN»«(params»«RET»" + ("(?:«{block»|«END»)" if typed else "«{block»"),
-        "DECL": "(?:V«DECLS»«END»|«FUNC»|«CLASS»" + ("|g*(?:q«ID»G?=n*«TYPE»«END»|k«ID»G?(?:e«TYPE»(?:,«TYPE»)*+)?n*«{type»|V?r«ID»n*«{enum»|J(?:\"|«ID»h*)n*«{module»|J«{module»|V«DECLS»«END»|«FUNC»)" if typed else "") + ")",
+        "DECL": "(?:V«DECLS»«END»|«FUNC»|«CLASS»" + ("|g*(?:q«ID»G?=n*«TYPE»«END»|k«ID»G?(?:e«TYPE»(?:,«TYPE»)*+)?n*«{type»|V?r«ID»n*«{enum»|J(?:\"|«ID»h*)n*(?:«{module»|«{block»)|J(?:«{module»|«{block»)|V«DECLS»«END»|«FUNC»)" if typed else "") + ")",
         "SIMPLE": "(?:«{block»|«DECL»|S«(expr»n*«{switch»|T«{block»n*(?:A(?:«(catch»)?n*«{block»n*(?:Y«{block»)?|Y«{block»)|R(?:«EXPR»)?«END»|H«EXPR»«END»|K«ID»?«END»|d«END»|D n*(?:«PRE»)*(?:«{block»|«EXPR»«END»)n*W«(expr»;?|(?![\ue800-\uebff])«EXPR»«END»|;)".replace("D n*", "Dn*"),
         "STMT": "(?:(?:«PRE»)*«SIMPLE»(?:n*L(?:n*«PRE»)*n*«SIMPLE»)*+)",
         "STMTS": "(?:n|«STMT»)*+",
@@ -263,7 +282,7 @@ def _script(typed: bool) -> Grammar:
             "object": "(?:«PROP»(?:,«PROP»)*+,?)?",
             "pattern": "(?:(?:«KEY»:«TARGET»|«ID»|_«ID»)(?:=«AE»)?(?:,(?:«KEY»:«TARGET»|«ID»|_«ID»)(?:=«AE»)?)*+,?)?",
             "class": "(?:[;n]|«DEC»(?:g*a?\\*?«KEY»[?x]?«GEN»«(params»«RET»(?:«{block»" + ("|(?:[;n]|$)" if typed else "") + ")|g«{block»|g*«KEY»[?x]?(?::«TYPE»)?(?:=«AE»)?(?:[;n]|$)" + ("|g*«[sign»:«TYPE»(?:[;n]|$)" if typed else "") + "))*+",
-            "switch": "n*(?:(?:C«EXPR»|X):«STMTS»)*",
+            "switch": "n*(?:(?:C«EXPR»|X):«STMTS»)*+",
             "import": "(?:q?(?:«WORD»|\")(?:z(?:«WORD»|\"))?(?:,q?(?:«WORD»|\")(?:z(?:«WORD»|\"))?)*+,?)?",
             "type": "(?:[;,n]|g*(?:(?:\\+?g)?«[sign»\\+?\\??:«TYPE»|N?«GEN»«(params»«RET»|«KEY»\\??(?:«GEN»«(params»)?«RET»)" + member + ")*+" if typed else "(?!)",
             "enum": "(?:(?:«WORD»|\")(?:=«AE»)?(?:,(?:«WORD»|\")(?:=«AE»)?)*+,?)?" if typed else "(?!)",
