@@ -44,12 +44,16 @@ RULES = (
     Rule("empty_exception_handler", PY, "medium", "best_practice", r"(?m)^\s*except\s*:\s*$"),
     Rule("empty_exception_handler", JS, "medium", "best_practice", r"catch\s*\([^)]*\)\s*\{\s*\}"),
     Rule("sql_concat", ANY, "critical", "security", r"""(?i)(select|insert|update|delete)\b(?:[^"'\n]*(?:["'][^"'\n]*\+|\{[^{}"'\n]*\}[^"'\n]*["'])|[^\n]*\{[^{}\n]+\})""", ("sql_sink",)),
+    Rule("subprocess_shell_true", JS, "high", "security", r"\b(?:child_process|childProcess|cp)\s*\.\s*(?:exec|execSync)\s*\(|\brequire\(['\"]child_process['\"]\)\s*\.\s*(?:exec|execSync)\s*\(", ("code",)),
+    Rule("spawn_shell_true", JS, "high", "security", r"\bspawn(?:Sync)?\s*\([^()]*\bshell\s*:\s*true", ("code",)),
     Rule("tls_verification_disabled", JS, "high", "security", r"""NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['"]?0""", ("code",)),
     Rule("unsafe_deserialization", JS, "high", "security", r"node-serialize|\bunserialize\s*\("),
     Rule("todo_marker", ANY, "low", "best_practice", r"(?i)#\s*(TODO|FIXME)|//\s*(TODO|FIXME)"),
     Rule("insecure_auth_cookie", JS, "high", "security", r"""(?i)\b(?:res|response)\.cookie\s*\(\s*['"]([^'"]*(?:auth|session|token|jwt)[^'"]*)['"]\s*,[^,{}]+\s*,\s*\{([^{}]*)\}""", ("code", "open_cookie")),
     Rule("nosql_untrusted_filter", JS, "high", "security", r"((?:\b(?:db|mongo|mongoose)\b(?:\.[A-Za-z_$][\w$]*)+|\b[A-Z][A-Za-z0-9_$]*\b|\b[A-Za-z_$][\w$]*(?:Collection|Model)\b))\.(find|findOne|findMany|findOneAndUpdate|updateOne|updateMany|deleteOne|deleteMany)\s*\(\s*((?:req|request)\.(?:body|query))\b", ("code",)),
     Rule("unsafe_archive_extract", JS, "high", "security", r"\bextractAllTo\s*\([^)]*(req\.|request\.)"),
+    Rule("ssrf_untrusted_url", JS, "high", "security", r"\b(?:fetch|got|request|axios(?:\.(?:get|post|put|patch|delete|request))?)\s*\(\s*(?:req|request)\.(?:query|body|params)\b", ("code",)),
+    Rule("permissive_cors", JS, "high", "security", r"""\bcors\s*\(\s*\{(?:[^{}]*\borigin\s*:\s*['"]\*['"][^{}]*\bcredentials\s*:\s*true|[^{}]*\bcredentials\s*:\s*true[^{}]*\borigin\s*:\s*['"]\*['"])""", ("code",)),
     Rule("xss_unsafe_html_sink", JS, "high", "security", r"\b(innerHTML|outerHTML)\s*=\s*[^;]*(req\.|request\.|props\.|state\.|location\.|document\.location)"),
     Rule("react_dangerous_html", JS, "medium", "security", r"dangerouslySetInnerHTML\s*=\s*\{\s*\{[^}]*(__html|html)\s*:"),
     Rule("debug_config_enabled", JS, "medium", "best_practice", r"""\b(DEBUG|NODE_ENV)\s*=\s*['"]development['"]|debug\s*:\s*true"""),

@@ -37,6 +37,8 @@ CASES = {
     "hardcoded_secret": ("api_key = 'zq81xkd0'", "password = 'changeme1'"), "dangerous_eval_py": ("y = eval(x)", "s = 'eval(x)'  # eval(x)"), "dangerous_eval_js": ("var y = eval(x);", "// eval(x)"),
     "empty_exception_handler_py": ("try:\n    a()\nexcept:\n    pass", "except ValueError:"), "empty_exception_handler_js": ("try { a() } catch (e) { }", "catch (e) { log(e) }"),
     "sql_concat": ("cur.execute(\"SELECT a FROM t WHERE b = \" + name)", "msg = \"select this: \" + name"), "tls_verification_disabled_js": ("process.env.NODE_TLS_REJECT_UNAUTHORIZED = '0'", "// NODE_TLS_REJECT_UNAUTHORIZED = 0"),
+    "subprocess_shell_true_js": ("child_process.exec(cmd)", "re.exec(s)"), "spawn_shell_true_js": ("spawn('ls', args, { shell: true })", "spawn('ls', args, { shell: false })"),
+    "ssrf_untrusted_url_js": ("axios.get(req.query.url)", "axios.get('https://a')"), "permissive_cors_js": ("app.use(cors({ credentials: true, origin: '*' }))", "app.use(cors({ origin: '*' }))"),
     "unsafe_deserialization_js": ("const s = require('node-serialize')", "serialize(a)"), "todo_marker": ("x = 1  # TODO later", "todo_list = 1"),
     "insecure_auth_cookie_js": ("res.cookie('session_id', v, { httpOnly: false })", "res.cookie('session_id', v, { httpOnly: true })"), "nosql_untrusted_filter_js": ("const u = User.findOne(req.body)", "list.find(req.body)"),
     "unsafe_archive_extract_js": ("zip.extractAllTo(req.body.dir)", "zip.extractAllTo('out')"), "xss_unsafe_html_sink_js": ("el.innerHTML = req.query.q;", "el.innerHTML = '';"),

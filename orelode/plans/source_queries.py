@@ -200,6 +200,14 @@ def s27_unique_find(spark, root):
     return _patches(spark, root).where("original <> ''").select("file_id", text.patch_place(F.col("content"), F.col("original")).cast("int").alias("place"))
 
 
+@query()
+def s27_unified_diff(spark, root):
+    """The difference text of each patch that applies; its two sides are checked by the tests."""
+    from orelode.operators.diffs import unified
+    p = _patches(spark, root).where("original <> ''").select("file_id", "content", text.patched(F.col("content"), F.col("original"), F.col("fixed")).alias("patched"))
+    return unified(p.where("patched is not null"), "file_id", "content", "patched")
+
+
 _FIXED = "CASE WHEN contains(content, chr(13) || chr(10)) AND contains(original, chr(10)) THEN replace(replace(original || ' # seen', chr(13) || chr(10), chr(10)), chr(10), chr(13) || chr(10)) ELSE original || ' # seen' END"
 
 

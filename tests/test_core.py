@@ -162,6 +162,14 @@ def test_grounding_and_patches(spark):
         assert df.select(text.patched(*map(F.col, "cof")).alias("x")).first()["x"] == want
 
 
+def test_unified_diff(spark):
+    from orelode.operators.diffs import unified
+
+    rows = [(1, "a\nb\n", "a\nc\n"), (2, "a", "a"), (3, None, "x\n")]
+    got = {r["k"]: r["diff"] for r in unified(spark.createDataFrame(rows, "k int, a string, b string"), "k", "a", "b").collect()}
+    assert "-b\n+c\n" in got[1] and got[2] == "" and "+x\n" in got[3]
+
+
 def test_python_rules_and_flows():
     found = missed = 0
     for rule, (yes, line, no) in source_queries.CASES.items():
