@@ -303,3 +303,34 @@ def s27_query_builder(spark, root):
 @query("SELECT project_id, array_to_string(list_slice(list_sort(languages), 1, 2), ',') AS first_two, list_contains(languages, 'java') AS has_java, len(languages)::INT AS n FROM projects WHERE languages IS NOT NULL")
 def s27_arrays(spark, root):
     return table(spark, root, "projects").where("languages is not null").select("project_id", F.array_join(F.slice(F.array_sort("languages"), 1, 2), ",").alias("first_two"), F.array_contains("languages", "java").alias("has_java"), F.size("languages").alias("n"))
+
+
+# Texts put together from columns: sections of a record without the empty ones, and the request to a reviewer.
+_SECTIONS = {"Rule": "rule", "Category": "category", "Severity": "severity", "What": "issue", "Fix": "fix_suggestion", "Evidence": "evidence", "Missing": "missing_control"}
+
+
+@query("SELECT issue_id, ingested_at, concat_ws(chr(10), " + ", ".join(f"CASE WHEN trim({c}) <> '' THEN '{n}: ' || trim({c}) END" for n, c in _SECTIONS.items()) + ") AS content FROM issues")
+def s27_record_text(spark, root):
+    parts = [F.when(F.trim(c) != "", F.concat(F.lit(f"{n}: "), F.trim(c))) for n, c in _SECTIONS.items()]
+    return table(spark, root, "issues").select("issue_id", "ingested_at", F.concat_ws("\n", *parts).alias("content"))
+
+
+@query("SELECT project_id, file_id, md5('Review the file ' || path || '.' || chr(10) || 'Report only what the text shows.' || chr(10) || '---' || chr(10) || left(content, 6000)) AS prompt_md5 FROM files WHERE content <> ''")
+def s27_prompts(spark, root):
+    head = F.concat(F.lit("Review the file "), "path", F.lit(".\nReport only what the text shows.\n---\n"))
+    return table(spark, root, "files").where("content <> ''").select("project_id", "file_id", F.md5(F.concat(head, F.left("content", F.lit(6000)))).alias("prompt_md5"))
+
+
+@query("SELECT file_id, md5(regexp_replace(content, '(?m)^([ \\t]*)(\\w+) = open\\(([^\\n()]*)\\)$', '\\1\\2 = open(\\3)\\n\\1try:\\n\\1    pass\\n\\1finally:\\n\\1    \\2.close()', 'g')) AS fixed_md5 FROM files WHERE content IS NOT NULL AND lower(path) LIKE '%.py'".replace("\\n\\1", "' || chr(10) || '\\1"))
+def s210_cleanup_rewrite(spark, root):
+    """A file opened to a name gets a "finally" that closes it."""
+    new = "$1$2 = open($3)\n$1try:\n$1    pass\n$1finally:\n$1    $2.close()"
+    return table(spark, root, "files").where("content is not null and lower(path) like '%.py'").select("file_id", F.md5(F.regexp_replace("content", r"(?m)^([ \t]*)(\w+) = open\(([^\n()]*)\)$", new)).alias("fixed_md5"))
+
+
+@query("SELECT issue_id, ingested_at, rule IN ('hardcoded_secret', 'sql_concat') AND length(evidence) > 3 AS usable, regexp_matches(evidence, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+$') AS is_mail, length(evidence) >= 8 AND regexp_matches(evidence, '[A-Za-z]') AND regexp_matches(evidence, '[0-9]') AS strong FROM issues WHERE evidence IS NOT NULL AND rule IS NOT NULL")
+def s27_policies(spark, root):
+    e = F.col("evidence")
+    return table(spark, root, "issues").where("evidence is not null and rule is not null").select(
+        "issue_id", "ingested_at", (F.col("rule").isin("hardcoded_secret", "sql_concat") & (F.length(e) > 3)).alias("usable"), e.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+$").alias("is_mail"),
+        ((F.length(e) >= 8) & e.rlike("[A-Za-z]") & e.rlike("[0-9]")).alias("strong"))
