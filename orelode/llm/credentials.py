@@ -39,15 +39,15 @@ _PARAM = re.compile(r"(?i)[?&;]\s*" + _NAME + r"=(?P<v>[^\s&;'\"`<>]+)")
 _SCHEME = re.compile(r"(?i)\b(?:bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/=_.\-]{12,})")
 #: name, quotes around it or a comment's end, a separator, then a literal
 _QUOTED = re.compile(
-    r"(?i)(?<![\w\-.$])" + _NAME + r"(?:\[\])?[\"'`]?\s*(?:\*/|\])?\s*(?::\s*[A-Za-z_][\w.<>|\[\] ]{0,30}=(?!=)|=>|:=|=(?!=)|:|,|\(|(?<=\*/))\s*\(?\s*"
-    r"(?:(?:process\.env\.\w+|os\.environ\.get\([^)\n]*\)|os\.getenv\([^)\n]*\)|System\.getenv\([^)\n]*\))\s*(?:\|\||\?\?|or)\s*)?[rbuRBU]?(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])+)(?P=q)"
+    r"(?i)(?<![\w\-.$])" + _NAME + r"(?:\[\])?[\"'`]?\s*+(?:\*/|\])?\s*+(?::\s*+[A-Za-z_][\w.<>|\[\] ]{0,30}=(?!=)|=>|:=|=(?!=)|:|,|\(|(?<=\*/))\s*+\(?\s*+"
+    r"(?:(?:process\.env\.\w+|os\.environ\.get\([^)\n]*\)|os\.getenv\([^)\n]*\)|System\.getenv\([^)\n]*\))\s*+(?:\|\||\?\?|or)\s*+)?[rbuRBU]?(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])+)(?P=q)"
 )
 _BARE = re.compile(r"(?im)(?:^|(?<=[\s{,]))(?:export\s+|ENV\s+|ARG\s+|-\s+)?[\"']?" + _NAME + r"[\"']?[ \t]*[:=][ \t]*(?P<v>[^\s'\"`,;][^\s'\"`,;]*)[ \t]*(?:$|(?=[ \t,;#]))")
 _SPACED = re.compile(r"(?im)^[ \t]*ENV[ \t]+" + _NAME + r"[ \t]+(?P<v>[^\s'\"=]+)[ \t]*$")
 _XML = re.compile(r"(?i)<" + _NAME + r">\s*(?P<v>[^<\s]+)\s*</|name=[\"']" + _NAME.replace("<name>", "<name2>") + r"[\"']\s+value=[\"'](?P<v2>[^\"'\s]+)[\"']")
 _OPTION = re.compile(r"(?i)(?<![\w\-])--?" + _NAME + r"[ =](?P<v>[^\s'\"`<>]+)")
 #: the value taken where a setting is missing
-_DEFAULT = re.compile(r"(?i)(?<![\w\-])" + _NAME + r"[\"'\])]*\s*(?:\|\||\?\?|\bor\b)\s*(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])+)(?P=q)")
+_DEFAULT = re.compile(r"(?i)(?<![\w\-])" + _NAME + r"[\"'\])]*\s*+(?:\|\||\?\?|\bor\b)\s*+(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])+)(?P=q)")
 #: a name and its value as two entries of a list of settings
 _PAIR = re.compile(r"(?i)\b(?:key|name)[\"']?\s*:\s*[\"']?" + _NAME + r"[\"']?\s*,?\s*[\"']?value[\"']?\s*:[ \t]*[\"']?(?P<v>[^\s'\"]+)")
 #: a password set in a statement to a database
@@ -55,9 +55,9 @@ _STATEMENT = re.compile(r"(?i)\b(?:ALTER|CREATE)\s+(?:ROLE|USER|LOGIN)\b[^;\n]{0
 _LOGIN = re.compile(r"(?i)\b(?P<name>auth|credentials?|login)\s*[=(:]\s*\(?\s*[\"'][^\"'\n]+[\"']\s*,\s*[\"'](?P<v>[^\"'\n]+)[\"']")
 #: literals side by side or added up, one value in pieces
 _PIECE = r"(?:\"(?:\\.|[^\"\n\\])*\"|'(?:\\.|[^'\n\\])*')"
-_JOINED = re.compile(_PIECE + r"(?:[ \t]*(?:\+|\\)?[ \t]*\r?\n?[ \t]*(?:\+[ \t]*)?" + _PIECE + r")+")
+_JOINED = re.compile(_PIECE + r"(?:[ \t]*+(?:\+|\\)?[ \t]*+\r?\n?[ \t]*+(?:\+[ \t]*+)?" + _PIECE + r")+")
 _PIECES = re.compile(_PIECE)
-_ASSIGNED = re.compile(r"(?i)" + _NAME + r"[\"']?\]?\s*(?::\s*[\w.<>\[\] ]{1,30}=|:=|=|:)\s*\(?\s*$")
+_ASSIGNED = re.compile(r"(?i)" + _NAME + r"[\"']?\]?\s*+(?::\s*+[\w.<>\[\] ]{1,30}=|:=|=|:)\s*+\(?\s*+$")
 _COMMENT = re.compile(r"^[ \t]*(?:#|//|/?\*|--|;|<!--)[^\n]*|(?<=[ \t;{}])(?://|#) [^\n]*", re.M)
 _CONFIG = re.compile(r"(?i)(?:^|/)(?:\.env[^/]*|[^/]*Dockerfile[^/]*|[^/]*\.(?:env|ya?ml|toml|ini|cfg|conf|properties|json|xml|txt|example|tf|tfvars|pem|key))$")
 _LITERAL = re.compile(r"(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\]){16,4000})(?P=q)|(?<![\w+/=])(?P<v2>[A-Za-z0-9+/]{24,400}={0,2})(?![\w+/=])")
