@@ -39,7 +39,7 @@ _PARAM = re.compile(r"(?i)[?&;]\s*" + _NAME + r"=(?P<v>[^\s&;'\"`<>]+)")
 _SCHEME = re.compile(r"(?i)\b(?:bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/=_.\-]{12,})")
 #: name, quotes around it or a comment's end, a separator, then a literal
 _QUOTED = re.compile(
-    r"(?i)(?<![\w\-.$])" + _NAME + r"(?:\[\])?[\"'`]?\s*+(?:\*/|\])?\s*+(?::\s*+[A-Za-z_][\w.<>|\[\] ]{0,30}=(?!=)|=>|:=|=(?!=)|:|,|\(|(?<=\*/))\s*+\(?\s*+"
+    r"(?i)(?<![\w\-.$])" + _NAME + r"(?:\[\])?[\"'`]?\s*+(?:\*/|\])?(?:\s*+(?::\s*+[A-Za-z_][\w.<>|\[\] ]{0,30}=(?!=)|=>|:=|=(?!=)|:|,|\()|(?<=\*/))\s*+\(?\s*+"
     r"(?:(?:process\.env\.\w+|os\.environ\.get\([^)\n]*\)|os\.getenv\([^)\n]*\)|System\.getenv\([^)\n]*\))\s*+(?:\|\||\?\?|or)\s*+)?[rbuRBU]?(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])+)(?P=q)"
 )
 _BARE = re.compile(r"(?im)(?:^|(?<=[\s{,]))(?:export\s+|ENV\s+|ARG\s+|-\s+)?[\"']?" + _NAME + r"[\"']?[ \t]*[:=][ \t]*(?P<v>[^\s'\"`,;][^\s'\"`,;]*)[ \t]*(?:$|(?=[ \t,;#]))")
