@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables whose rows don't grow with the data; each is checked against SMALL_ROWS before it is broadcast.
-FIXED_TABLES = ("source_trust", "budgets", "third_party", "eval_items", "nation", "region")
+#: Rows of a table that may come to the driver; ``small_rows`` checks it.
 SMALL_ROWS = 10_000
 
 
