@@ -84,6 +84,41 @@ def rank_files(files: DataFrame, questions: DataFrame, names: DataFrame, imports
     return j.select("question_id", "project_id", "path", "file_ord", score.cast("int").alias("score")).where("score > 0")
 
 
+def path_mentions(texts: DataFrame, files: DataFrame, keep: list[str]) -> DataFrame:
+    """(project_id, keep, path): each path of files that stands somewhere in a text (project_id, keep, text) of its project, case aside; no row for null or "".
+
+    A large project has too many paths to try each on each text. A path is cut at its marks (what is no letter, digit or "_"): where it stands, the marks in it follow each
+    other in the text, its head ends the word before the first and its tail begins the word after the last. So a project's marks with the lengths
+    of head and tail give the few pieces of a text that can be paths, and these are joined with the paths by equality. A path without marks can be any piece of its length of a word.
+    """
+    word, mark = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    p = files.select("project_id", "path").where("path <> ''").distinct().withColumn("piece", F.lower("path"))
+    marks = lambda c: F.regexp_replace(c, word + "+", "")
+    head, tail = F.length(F.regexp_extract("piece", f"^{word}*", 0)), F.length(F.regexp_replace("piece", f"(?s)^.*{mark}", ""))
+    forms = p.select("project_id", marks(F.col("piece")).alias("marks"), head.alias("head"), tail.alias("tail")).groupBy("project_id", "marks").agg(F.collect_set(F.struct("head", "tail")).alias("ends"))
+    forms = forms.groupBy("project_id").agg(F.collect_list(F.struct("marks", "ends")).alias("forms"))
+    # Every word of a text with the mark after it; one mark is set after the last word.
+    low = F.lower("text")
+    t = texts.where("text <> ''").select("project_id", *keep, marks(low).alias("_marks"), F.regexp_extract_all(F.concat(low, F.lit("\n")), F.lit(f"{word}*{mark}"), F.lit(0)).alias("_words"))
+
+    def pieces(form: Column) -> Column:
+        n = F.length(form["marks"])
+        fits = lambda k: F.filter(form["ends"], lambda e: (e["head"] < F.length(F.get("_words", k - 1))) & (e["tail"] < F.length(F.get("_words", k + n - 1))))
+        between = lambda k: F.array_join(F.slice("_words", k + 1, n - 1), "")
+        piece = lambda k, e: F.concat(F.substring(F.get("_words", k - 1), -1 - e["head"], e["head"] + 1), between(k), F.substring(F.get("_words", k + n - 1), F.lit(1), e["tail"]))
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_marks") - n + 1)), lambda k: F.substring("_marks", k, n) == form["marks"])
+        return F.flatten(F.transform(places, lambda k: F.transform(fits(k), lambda e: piece(k, e))))
+
+    def parts(form: Column) -> Column:
+        of = lambda w, e: F.transform(F.sequence(F.lit(1), F.length(w) - e["head"]), lambda k: F.substring(w, k, e["head"]))
+        return F.flatten(F.transform("_words", lambda w: F.flatten(F.transform(F.filter(form["ends"], lambda e: e["head"] < F.length(w)), lambda e: of(w, e)))))
+
+    seen = F.filter("forms", lambda f: F.contains("_marks", f["marks"]))
+    found = F.flatten(F.transform(seen, lambda f: F.when(f["marks"] == "", parts(f)).otherwise(pieces(f))))
+    could = t.join(forms, "project_id").select("project_id", *keep, F.explode(F.array_distinct(found)).alias("piece"))
+    return could.join(p, ["project_id", "piece"]).select("project_id", *keep, "path").distinct()
+
+
 def top(ranked: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each key; Spark cuts each partition to k before the exchange."""
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)

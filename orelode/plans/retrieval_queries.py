@@ -138,8 +138,8 @@ def s29_risk_route(spark, root):
 
 @query(_EDGES + ", q AS (SELECT project_id, lower(issue || ' ' || coalesce(file, '')) AS asked, issue_id FROM issues WHERE issue <> '') SELECT DISTINCT q.project_id, issue_id, f.path FROM q JOIN f USING (project_id) WHERE f.path <> '' AND contains(asked, lower(f.path))")
 def s23_path_mentions(spark, root):
-    q = table(spark, root, "issues").where("issue <> ''").select("project_id", "issue_id", F.lower(F.concat("issue", F.lit(" "), F.coalesce("file", F.lit("")))).alias("asked"))
-    return files(spark, root).select("project_id", "path").where("path <> ''").join(q, "project_id").where(F.col("asked").contains(F.lower("path"))).select("project_id", "issue_id", "path").distinct()
+    q = table(spark, root, "issues").where("issue <> ''").select("project_id", "issue_id", F.concat("issue", F.lit(" "), F.coalesce("file", F.lit(""))).alias("text"))
+    return re_.path_mentions(q, table(spark, root, "files"), ["issue_id"])
 
 
 def _near_file(spark, root):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orelode.functions import paths, text
 from orelode.operators import chunks, findings, pysource, retrieval, rules, scoring
-from orelode.plans import finding_queries, source_queries
+from orelode.plans import finding_queries, retrieval_queries, source_queries
 from orelode.sources import archives
 from orelode.streaming import limits
 
@@ -152,6 +152,26 @@ def test_import_graph_and_neighbours(spark):
     assert n["app/b.py", "app/c/__init__.py"] == 2 and n["web/y.ts", "web/lib/index.ts"] == 2 and ("app/a.py", "app/a.py") not in n
 
 
+def test_path_mentions_equal_brute_force(spark):
+    r = random.Random(7)
+    made = lambda n: "".join(r.choice("abA_é/. -𝒳😀\n") for _ in range(r.randrange(n)))
+    files = [(r.choice("pq"), made(9)) for _ in range(150)] + [("p", None), (None, "a"), ("p", "readme"), ("p", "README"), ("p", "a/b"), ("q", "."), ("q", "/.env"), ("p", "b")]
+    texts = [(r.choice("pqr"), i % 90, made(40)) for i in range(120)] + [("p", 1, None), (None, 2, "a"), ("p", 500, "see xReadMe"), ("p", 501, "aa/bb"), ("q", 502, "x/.env"), ("q", 503, "b" * 3000)]
+    want = {(p, i, f) for p, i, t in texts for q, f in files if p and p == q and t and f and f.lower() in t.lower()}
+    got = retrieval.path_mentions(spark.createDataFrame(texts, "project_id string, issue_id int, text string"), spark.createDataFrame(files + files[:20], "project_id string, path string"), ["issue_id"]).collect()
+    assert len(got) == len(want) > 200 and {tuple(x) for x in got} == want
+
+
+def test_path_mentions_of_a_large_project(spark, tmp_path):
+    n = 40_000
+    path = F.concat(F.lit("src/m"), (F.col("id") % 97).cast("string"), F.lit("/part_"), F.col("id").cast("string"), F.lit(".py"))
+    spark.range(n).select(F.col("id").alias("file_id"), F.lit("p").alias("project_id"), F.col("id").cast("int").alias("file_ord"), path.alias("path"), F.lit("x").alias("content")).write.parquet(f"{tmp_path}/files.parquet")
+    spark.range(n).select(F.col("id").alias("issue_id"), F.lit("p").alias("project_id"), F.lit("The value reaches the log without a check.").alias("issue"), path.alias("file")).write.parquet(f"{tmp_path}/issues.parquet")
+    t = time.time()
+    assert retrieval_queries.QUERIES["s23_path_mentions"](spark, str(tmp_path)).count() == n
+    assert time.time() - t < 45
+
+
 def test_grounding_and_patches(spark):
     src = "def total_sum(a):\n    return a + 1\n"
     for line, quote, source, want in ((1, "return  A + 1", "ai_quality", None), (9, "x", "ai_quality", "line_out_of_range"), (1, "", "ai_quality", "no_evidence"), (1, None, "deterministic", None), (1, "uses overSpend", "ai_quality", "unknown_identifier"), (None, "plain words only", "ai_quality", None), (3, "x", "y", "line_out_of_range")):
