@@ -26,7 +26,7 @@ def _trust(spark: SparkSession, root: str) -> dict[str, int]:
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return survivorship.ranked_truth(table(spark, root, "issues"), _trust(spark, root))[0]
+    return survivorship.survivors(table(spark, root, "issues"), _trust(spark, root))
 
 
 def p2_records(spark: SparkSession, root: str) -> DataFrame:

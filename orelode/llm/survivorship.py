@@ -2,13 +2,15 @@
 
 The operators share the preparation of the claims (a claim is one usable value of one field in one row):
 
+``survivors``       the strict order by rank, then recency, then id, by one grouped minimum; ``strict_records`` is the same with the values. No
+                    estimated reliability can have a say in a strict order, so none is estimated here.
 ``ranked_truth``    iterative truth discovery with a prior: each trust rank casts one vote per group and field, with its latest claim. A
                     vote weighs prior times reliability; reliabilities and votes are estimated alternately until the choices settle.
-                    The priors lie so far apart (a factor of 4, reliabilities from 1/2 to 1) that a rank outweighs all lower ones together, which
-                    makes the result the strict order by rank, then recency, then id. One exchange: the ranks are few, so a group's
-                    votes are one row, and a round is one pass over these rows.
+                    A rank's prior is ``prior`` times that of the next. Reliabilities lie from 1/2 to 1: below 3 the reliabilities can change
+                    a choice, from 3 on (4 by default) a rank outweighs all lower ones together, which makes the result the strict order
+                    and the reliabilities a mere report. One exchange: the ranks are few, so a group's votes are one row, and a
+                    round is one pass over these rows.
 ``discover_truth``  the same without a prior: one voter per source, reliabilities learnt, no source preferred beyond its start value.
-``survivors``       the strict order itself, by one grouped minimum; ``strict_records`` is the same with the values.
 
 Defined cases: rows without a group key or without an id take no part; a group needs at least two different ids; values
 that stand in for nothing never compete; a field without a usable value yields no row; replayed rows change nothing;
@@ -136,7 +138,7 @@ def strict_records(
 
 def ranked_truth(
     rows: DataFrame, trust: dict[str, int], group: str = "finding_id", ident: str = "issue_id", source: str = "source",
-    recency: str = "created_at", fields=ISSUE_FIELDS, tolerance: float = 1e-6, max_rounds: int = 20,
+    recency: str = "created_at", fields=ISSUE_FIELDS, tolerance: float = 1e-6, max_rounds: int = 20, prior: float = 4.0,
 ) -> tuple[DataFrame, dict[int, float], int]:
     """Truth discovery with trust ranks as prior: (rows, reliability by rank, rounds).
 
@@ -160,7 +162,7 @@ def ranked_truth(
     good = {k: 0.9 for k in range(len(ranks))}
 
     def chosen(good: dict[int, float]) -> DataFrame:
-        weight = F.array(*[F.lit(4.0 ** (len(ranks) - k) * good[k]) for k in range(len(ranks))])
+        weight = F.array(*[F.lit(prior ** (len(ranks) - k) * good[k]) for k in range(len(ranks))])
         support = F.transform("votes", lambda v: F.struct(
             F.aggregate("votes", F.lit(0.0), lambda s, o: s + F.when(o["value"] == v["value"], F.element_at(weight, o["rank"] + 1)).otherwise(0.0)).alias("support"), (-v["rank"]).alias("better"), v.alias("vote")))
         return claims.select("_group", "field_name", "votes", F.array_max(support)["vote"].alias("best"))

@@ -65,6 +65,31 @@ def test_voting_with_ranks_as_prior_equals_the_strict_order(spark):
         assert rounds >= 2 and set(good) == {1, 2, 3, s.UNTRUSTED} and good[1] > good[3]
 
 
+def test_p2_found_runs_no_stage_that_cannot_change_it(spark, tmp_path, monkeypatch):
+    from __spark_entry__ import queries
+
+    def unused(*_, **__):
+        raise AssertionError("reliabilities are estimated that cannot change the strict order")
+
+    rows = made()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/issues.parquet")
+    spark.createDataFrame(list(TRUST.items()), "source string, trust_rank int").write.parquet(f"{tmp_path}/source_trust.parquet")
+    monkeypatch.setattr(s, "ranked_truth", unused)
+    monkeypatch.setattr(s, "discover_truth", unused)
+    got = queries()["p2_found"](spark, str(tmp_path))
+    assert got.columns == ["finding_id", "field_name", "issue_id"] and sorted(tuple(r) for r in got.collect()) == sorted(brute(rows))
+
+
+def test_learnt_reliabilities_decide_under_a_weak_prior(spark):
+    """Two ranks that disagree: alone the better one wins, unless other groups show that it is mostly wrong."""
+    claim = lambda i, g, v, source: (i, g, v, None, None, None, source, None, "x")
+    pair = [claim(1, "f", "high", "deterministic"), claim(2, "f", "low", "human_review")]
+    others = [claim(10 * g + k, f"g{g}", v, source) for g in range(1, 9) for k, (v, source) in enumerate((("high", "deterministic"), ("low", "human_review"), ("low", "ai_quality+deterministic")))]
+    best = lambda rows, **more: {r["finding_id"]: r["issue_id"] for r in s.ranked_truth(spark.createDataFrame(rows, SCHEMA), TRUST, **more)[0].collect()}["f"]
+    assert best(pair, prior=1.0) == 1 and best(pair + others, prior=1.0) == 2
+    assert best(pair + others) == 1
+
+
 def test_records_take_each_field_from_its_row(spark):
     rows = made()
     df = spark.createDataFrame(rows, SCHEMA)
